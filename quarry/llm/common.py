@@ -102,3 +102,41 @@ def words_of(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the table does not have yet."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+    """Left join of many rows with a table of distinct keys, each hot key dealt over ``salts`` tasks. Null keys match."""
+    salt, *right_keys = fresh(left, "_salt", *[f"_key_{k}" for k in keys])
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if left.schema[c].dataType.typeName() != "map"]), F.lit(salts)).cast("int"))
+    copies = right.select(*[F.col(k).alias(r) for k, r in zip(keys, right_keys, strict=True)], *[c for c in right.columns if c not in keys], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(f"{salt}r"))
+    same = F.col(salt) == F.col(f"{salt}r")
+    for k, r in zip(keys, right_keys, strict=True):
+        same = same & dealt[k].eqNullSafe(copies[r])
+    return dealt.join(copies, same, "left").drop(salt, f"{salt}r", *right_keys)
+
+
+#: Most rows of a table of fixed-width rows that is broadcast; larger ones are joined by a salted shuffle.
+BROADCAST_ROWS = 20_000
+
+
+def bounded_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join with a written table of distinct keys: broadcast if its checked row count is small, salted otherwise."""
+    if right.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return salted_join(left, right, keys)
+    names = fresh(left, *[f"_key_{k}" for k in keys])
+    small = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        same = same & left[k].eqNullSafe(small[n])
+    return left.join(F.broadcast(small), same, "left").drop(*names)

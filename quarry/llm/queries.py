@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe
+from quarry.llm import byte_bpe, mixing, pii, quality, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.op1_pii,
+        "op2_url_filters": urls.op2_url_filters,
+        "op3_quality_rules": quality.op3_quality_rules,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+        "op6_mixing": mixing.op6_mixing,
         "op8_token_counts": byte_bpe.op8_token_counts,
     }
 
