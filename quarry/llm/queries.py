@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, mixing, pii, quality, urls
+from quarry.llm import byte_bpe, line_dedup, minhash, mixing, pii, quality, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": pii.op1_pii,
         "op2_url_filters": urls.op2_url_filters,
         "op3_quality_rules": quality.op3_quality_rules,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_mixing": mixing.op6_mixing,
         "op8_token_counts": byte_bpe.op8_token_counts,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
