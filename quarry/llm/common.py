@@ -44,7 +44,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(path)
@@ -58,14 +58,14 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "quarry_path", None)
         if path in _written:
-            _delete(_written.pop(path)[0], path)
+            delete(_written.pop(path)[0], path)
 
 
 def release_all() -> None:
     """Delete every table of :func:`written`; call it once the results that read them are stored."""
     while _written:
         path, (spark, _) = _written.popitem()
-        _delete(spark, path)
+        delete(spark, path)
 
 
 @atexit.register
