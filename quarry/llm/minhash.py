@@ -8,9 +8,12 @@ similarity 0.75 miss each other at the first level of all ``TREES`` trees with p
    full sets, and links make components. Near copies by the thousand need one pair each for that.
 2. Only pairs of different components can still add links. Nodes of one component are done. A node that holds more than
    ``NODE`` classes beside its largest component branches again by one or two more coordinates (4/3 on average, so that
-   pairs of the least similarity are expected to meet once at any depth). The others are compared exhaustively: all
-   pairs across components, in a grid of chunks, so that no task holds more than two chunks of any node.
-3. Their verified links and those of step 1 give the final components.
+   pairs of the least similarity are expected to meet once at any depth). In the others the signatures of all pairs across
+   components are compared, in a grid of chunks, so that no task holds more than two chunks of any node; what leaves a
+   cell is not its candidate pairs but a forest that connects them, a row for each class at most.
+3. Forests of all trees join into families, which hold every candidate pair once, whatever the number of trees that found
+   it. In the same grid, full sets of a family's members are compared for all its candidate pairs across components that
+   earlier links of the cell do not connect already. These links and those of step 1 give the final components.
 
 Verification reads the texts again, only for classes in candidate pairs (chosen by a bitmap of fixed size and then by a
 join). Links are confirmed on the full sets; hashes have 64 bits.
@@ -111,41 +114,82 @@ def verified(df: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     return out
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b) of different components from rows (cell, side, rk, comp, sig) sorted by cell."""
-
-    def pairs(rows: list) -> tuple[list, list]:
-        rk = np.array([r[2] for r in rows], dtype=np.int64)
-        comp = np.array([r[3] for r in rows], dtype=np.int64)
-        side = np.array([r[1] for r in rows], dtype=np.int64)
-        sig = np.frombuffer(b"".join([r[4] for r in rows]), dtype=np.uint32).reshape(len(rows), -1)
-        a, b = [], []
-        for i in range(len(rows) - 1):
-            ok = (comp[i + 1 :] != comp[i]) & ((side[i] == 2) | (side[i + 1 :] != side[i]))
-            at = np.flatnonzero(ok) + i + 1
-            if len(at):
-                at = at[(sig[at] == sig[i]).sum(axis=1) >= AGREE]
-                a += [min(int(rk[i]), int(rk[j])) for j in at]
-                b += [max(int(rk[i]), int(rk[j])) for j in at]
-        return a, b
-
+def _cells(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """``work(rows)`` for the rows of each cell, from batches sorted by cell; a cell's rows may span batches."""
     waiting: list = []
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if waiting and row[0] != waiting[0][0]:
                 if len(waiting) > 1:
-                    a, b = pairs(waiting)
-                    if a:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    yield work(waiting)
                 waiting = []
             waiting.append(row)
     if len(waiting) > 1:
-        a, b = pairs(waiting)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        yield work(waiting)
+
+
+def _candidates(rows: list) -> np.ndarray:
+    """How many coordinates the rows of a cell agree on, 0 for pairs that the cell does not compare."""
+    side, comp = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 3))
+    sig = np.frombuffer(b"".join([r[4] for r in rows]), dtype=np.uint32).reshape(len(rows), -1)
+    agree = np.zeros((len(rows), len(rows)), dtype=np.uint8)
+    for k in range(sig.shape[1]):
+        agree += sig[:, k][:, None] == sig[:, k][None, :]
+    compared = (comp[:, None] != comp[None, :]) & ((side[:, None] == 2) | (side[:, None] != side[None, :]))
+    return np.where(compared & (agree >= AGREE), agree, 0)
+
+
+def _edges(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _family(rows: list) -> pa.RecordBatch:
+    """(a, b): each row of a cell that has candidates, with the smallest row that candidates reach from it."""
+    near = _candidates(rows) > 0
+    rk = np.array([r[2] for r in rows], dtype=np.int64)
+    least = rk
+    while True:
+        new = np.minimum(least, np.where(near, least[None, :], np.iinfo(np.int64).max).min(axis=1))
+        if (new == least).all():
+            break
+        least = new
+    at = np.flatnonzero(near.any(axis=1) & (least != rk))
+    return _edges(least[at].tolist(), rk[at].tolist())
+
+
+def _confirmed(percent: int):
+    def work(rows: list) -> pa.RecordBatch:
+        """Links across components, confirmed on full sets; pairs that links connect already are passed over."""
+        agree = np.triu(_candidates(rows), 1)
+        x, y = np.nonzero(agree)
+        order = np.argsort(-agree[x, y].astype(int), kind="stable")
+        sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rows]
+        parent = {r[3]: r[3] for r in rows}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        a, b = [], []
+        for i, j in zip(x[order], y[order], strict=True):
+            u, v = root(rows[i][3]), root(rows[j][3])
+            if u != v:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    parent[max(u, v)] = min(u, v)
+                    a.append(rows[i][2])
+                    b.append(rows[j][2])
+        return _edges(a, b)
+
+    return work
+
 
+def gridded(members: DataFrame, nodes: DataFrame, more: DataFrame, work) -> DataFrame:
+    """(a, b) that ``work`` gives for cells that hold all pairs across components of the nodes between them.
 
-def compared(members: DataFrame, nodes: DataFrame, sigs: DataFrame) -> DataFrame:
-    """All pairs across components of the nodes, from members (node, rk, comp) and nodes (node, main, n_main, n_rest).
+    Members are (node, rk, comp), nodes (node, main, n_main, n_rest); ``more`` has what ``work`` needs for each rk.
 
     The members of a node's largest component and the rest are cut into chunks of CHUNK rows. A cell of the grid holds a
     chunk of the largest component and one of the rest, or two chunks of the rest.
@@ -162,9 +206,10 @@ def compared(members: DataFrame, nodes: DataFrame, sigs: DataFrame) -> DataFrame
     with_main = F.transform(numbers(F.col("m")), lambda i: cell("m", i, F.col("own"), 1))
     among = F.transform(numbers(F.col("r")), lambda j: F.when(j < F.col("own"), cell("r", j, F.col("own"), 1)).when(j > F.col("own"), cell("r", F.col("own"), j, 0)).otherwise(cell("r", j, j, 2)))
     cells = dealt.withColumn("own", own).withColumn("big", big).select("node", "rk", "comp", F.explode(F.when(F.col("big"), with_rest).otherwise(F.concat(with_main, among))).alias("c"))
-    keyed = cells.select(F.xxhash64("node", "c.t", "c.i", "c.j").alias("cell"), "c.side", "rk", "comp").join(sigs, "rk")
-    sorted_ = keyed.select("cell", "side", "rk", "comp", "sig").repartition("cell").sortWithinPartitions("cell", "rk")
-    return sorted_.mapInArrow(_across, "a bigint, b bigint").distinct()
+    extra = [c for c in more.columns if c != "rk"]
+    keyed = cells.select(F.xxhash64("node", "c.t", "c.i", "c.j").alias("cell"), "c.side", "rk", "comp").join(more, "rk")
+    ordered = keyed.select("cell", "side", "rk", "comp", *extra).repartition("cell").sortWithinPartitions("cell", "rk")
+    return ordered.mapInArrow(lambda batches: _cells(batches, work), "a bigint, b bigint")
 
 
 def branched(members: DataFrame, sigs: DataFrame, depth: int) -> DataFrame:
@@ -211,14 +256,18 @@ def components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
         several = common.written(mixed_nodes(members), "several")
         last = depth == DEPTH
         small = several if last else several.where(F.col("n_rest") <= NODE)
-        pairs = common.written(compared(members, small, sigs), "pairs")
-        found = pairs if found is None else found.union(pairs)
+        near = common.written(gridded(members, small, sigs, _family), "near")
+        found = near if found is None else found.union(near)
         large = several.where(F.col("n_rest") > NODE)
         if last or not large.limit(1).count():
             break
         members = common.written(branched(members.join(large.select("node"), "node", "left_semi"), sigs, depth), "members")
-    more = verified(base, found.distinct(), width, percent)
-    labels = connected(links.union(more)) if more.limit(1).count() else labels
+    if found.limit(1).count():
+        families = connected(found).toDF("rk", "node")
+        members = common.written(families.join(labels.toDF("rk", "label"), "rk", "left").select("node", "rk", F.coalesce("label", "rk").alias("comp")), "members")
+        held = common.written(needed_sets(base, members.select("rk"), width).dropDuplicates(["rk"]), "sets")
+        more = common.written(gridded(members, mixed_nodes(members), sigs.join(held, "rk"), _confirmed(percent)), "more")
+        labels = connected(links.union(more)) if more.limit(1).count() else labels
 
     named = classes.select("ck", "doc_id", "rk", "size").join(labels.withColumnRenamed("v", "w"), F.col("rk") == F.col("w"), "left").select("ck", "doc_id", "size", F.coalesce("label", "rk").alias("comp"))
     linked = labels.groupBy("label").agg(F.count(F.lit(1)).alias("c")).select("label")
