@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +134,6 @@ class LSA(Component):
     """Two components of a truncated singular value decomposition of the texts' TF-IDF vectors."""
 
     def fit_state(self, df, y=None, num_features=4096):
-        import numpy as np
         from pyspark.ml.feature import IDF, HashingTF
         from pyspark.mllib.linalg import Vectors
         from pyspark.mllib.linalg.distributed import RowMatrix
@@ -149,10 +150,7 @@ class LSA(Component):
         return {"columns": columns, "idf": idf.idf.toArray().tolist(), "directions": v.T.tolist()}
 
     def transform(self, df: DataFrame) -> DataFrame:
-        import numpy as np
-        import pandas as pd
         from pyspark.ml.feature import HashingTF
-        from pyspark.ml.functions import vector_to_array  # noqa: F401 - sparse vectors stay sparse below
 
         s = self.learnt()
         weights = (np.array(s["directions"]) * np.array(s["idf"])).T if s["columns"] else None

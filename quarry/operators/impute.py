@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,9 +173,6 @@ class KNNImputer(Component):
         return {"columns": columns, "reference": [list(r) for r in rows]}
 
     def transform(self, df: DataFrame) -> DataFrame:
-        import numpy as np
-        import pandas as pd
-
         s, k = self.learnt(), self.parameters["number_neighbors"]
         columns = s["columns"]
         reference = np.array(s["reference"], dtype=float).reshape(-1, len(columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,9 +77,6 @@ class Oversampler(Component):
         return {"counts": list(counts.items()), "targets": list(oversample_targets(counts, sampling_ratio).items())}
 
     def transform(self, df: DataFrame) -> DataFrame:
-        import numpy as np
-        import pandas as pd
-
         s, p = self.learnt(), self.parameters
         y, counts, goal = s["y"], dict(s["counts"]), dict(s["targets"])
         short = {k: goal[k] / counts[k] - 1 for k in counts if goal[k] > counts[k]}
@@ -91,20 +90,22 @@ class Oversampler(Component):
             b = F.pmod(F.xxhash64(*[f"`{c}`" for c in features]), F.lit(max(1, n // p["block"])))
             blocks = F.when(F.col(f"`{y}`") == F.lit(k), b) if blocks is None else blocks.when(F.col(f"`{y}`") == F.lit(k), b)
 
+        names, seed, wanted = df.columns, p["random_seed"], p["k_neighbors_default"]
+
         def synthetic(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values(features).reset_index(drop=True)
-            rng = np.random.default_rng(p["random_seed"] + int(rows["_b"].iloc[0]))
+            rng = np.random.default_rng(seed + int(rows["_b"].iloc[0]))
             n = int(np.ceil(short[rows[y].iloc[0]] * len(rows)))
             x = rows[numeric].fillna(0.0).to_numpy(float)
             at = rng.integers(0, len(rows), n)
             d = ((x[at][:, None, :] - x[None, :, :]) ** 2).sum(2) if len(numeric) else np.zeros((n, len(rows)))
             d[np.arange(n), at] = np.inf
-            k = min(p["k_neighbors_default"], max(len(rows) - 1, 1))
+            k = min(wanted, max(len(rows) - 1, 1))
             near = np.argsort(d, axis=1, kind="stable")[np.arange(n), rng.integers(0, k, n)] if len(rows) > 1 else at
             out = rows.iloc[at].reset_index(drop=True)
             if numeric:
                 out[numeric] = x[at] + rng.random((n, 1)) * (x[near] - x[at])
-            return out[df.columns]
+            return out[names]
 
         made = few.withColumn("_b", blocks.cast("bigint")).groupBy(y, "_b").applyInPandas(synthetic, df.schema)
         return df.unionByName(made)
