@@ -31,7 +31,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from quarry.plans import checks, transforms  # noqa: F401
+    from quarry.plans import checks, scores, transforms  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
