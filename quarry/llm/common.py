@@ -140,3 +140,21 @@ def bounded_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     for k, n in zip(keys, names, strict=True):
         same = same & left[k].eqNullSafe(small[n])
     return left.join(F.broadcast(small), same, "left").drop(*names)
+
+
+#: Bits of the bitmap of :func:`marked`: at most 512 rows of 4 kB.
+MARK_BITS = 1 << 24
+
+
+def marked(df: DataFrame, key: str, keys: DataFrame, out: str) -> DataFrame:
+    """Add whether a row's key (a long) may be among ``keys`` (one column): false is sure, true nearly so.
+
+    A bitmap of fixed size is broadcast, so rows that have no match need no shuffle to find that out.
+    """
+    bit = lambda c: F.pmod(c, F.lit(MARK_BITS)) + 1
+    maps = keys.select(bit(F.col(keys.columns[0])).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("_bk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bm"))
+    at = F.bitmap_bit_position(bit(F.col(key)))
+    joined = df.join(F.broadcast(written(maps, "bitmap")), F.bitmap_bucket_number(bit(F.col(key))) == F.col("_bk"), "left")
+    byte = F.conv(F.hex(F.substring("_bm", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    flag = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)) == 1
+    return joined.withColumn(out, F.coalesce(flag, F.lit(False))).drop("_bk", "_bm")

@@ -139,7 +139,10 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words:
     gone = deletions(df, text, doc_id, min_words)
     (key,) = common.fresh(df, "_rk")
     base = df.drop(*[c for c in ("n_lines", "gone") if c != text])
-    joined = base.withColumn(key, content_key(doc_id, text)).join(gone.withColumnRenamed("rk", key), key, "left")
+    (may,) = common.fresh(base, "_may")
+    keyed = common.marked(base.withColumn(key, content_key(doc_id, text)), key, gone.select("rk"), may)
+    touched = keyed.where(may).join(gone.hint("merge"), F.col(key) == F.col("rk"), "left")
+    joined = touched.unionByName(keyed.where(~F.col(may)), allowMissingColumns=True)
     names = [*base.columns]
     at, mark = names.index(text), len(names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", n_lines bigint, gone array<bigint>"

@@ -281,10 +281,12 @@ def components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents without those that a document of a smaller id makes superfluous; columns stay."""
-    (key,) = common.fresh(docs, "_rk")
+    key, may = common.fresh(docs, "_rk", "_may")
     gone = common.written(components(docs).where("not kept").select(F.col("rk").alias(key)).distinct(), "gone")
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn(key, F.xxhash64(F.col("doc_id"), t)).join(gone, key, "left_anti").select(*docs.columns)
+    keyed = common.marked(docs.withColumn(key, F.xxhash64(F.col("doc_id"), t)), key, gone, may)
+    left = keyed.where(may).join(gone.hint("merge"), key, "left_anti")
+    return keyed.where(~F.col(may)).select(*docs.columns).unionByName(left.select(*docs.columns))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
