@@ -153,18 +153,24 @@ def binned(df: DataFrame, names: list[str], bins: int = 10) -> DataFrame:
     return df.withColumns(new)
 
 
+def correlation(a, b):
+    """Pearson correlation of the rows where both have values; null where one does not vary."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> float:
     """Correlation of average ranks; ranks come from the table of distinct values."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
     rank = lambda c: F.rank().over(W.partitionBy(F.lit(0)).orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(c)) - 1) / 2
-    return rows.select(rank("a").alias("ra"), rank("b").alias("rb")).agg(F.corr("ra", "rb")).first()[0] or 0.0
+    return rows.select(rank("a").alias("ra"), rank("b").alias("rb")).agg(correlation(F.col("ra"), F.col("rb"))).first()[0] or 0.0
 
 
 def leakage_check(df: DataFrame, y: str, threshold: float = 0.95, method: str = "all") -> list[Message]:
     types, found = schema.logical_types(df), []
     features = [c for c in features_of(df, y) if types[c] not in ("text", "datetime")]
     numeric = [c for c in features if types[c] in schema.NUMERIC] if types[y] in schema.NUMERIC else []
-    got = df.agg(*[F.corr(F.col(f"`{c}`").cast("double"), F.col(f"`{y}`").cast("double")).alias(str(i)) for i, c in enumerate(numeric)]).first() if numeric else None
+    got = df.agg(*[correlation(F.col(f"`{c}`").cast("double"), F.col(f"`{y}`").cast("double")).alias(str(i)) for i, c in enumerate(numeric)]).first() if numeric else None
     for c in features:
         values = [abs(got[str(numeric.index(c))] or 0.0)] if c in numeric and method in ("all", "max", "pearson") else []
         if c in numeric and method in ("all", "max", "spearman"):

@@ -1,10 +1,268 @@
-"""placeholder"""
+"""Search over pipelines: tuners propose parameters, a pool of Spark jobs evaluates them, rankings sort the results."""
+
+from __future__ import annotations
+
+import itertools
+import time
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions import metrics
+from quarry.operators.sample import best_sampler, class_counts
+from quarry.operators.split import hashed_folds, make_splitter
+from quarry.plans import estimators as est
+from quarry.plans.graph import Pipeline, make_pipeline
+from quarry.plans.profile import Message, default_checks
+
+
+def _values(space, n: int) -> list:
+    """A list stays; a range of whole numbers or of numbers becomes n even steps."""
+    if isinstance(space, list):
+        return list(space)
+    low, high = space
+    if isinstance(low, int) and isinstance(high, int):
+        return sorted({int(round(v)) for v in np.linspace(low, high, n)})
+    return [float(v) for v in np.linspace(low, high, n)]
+
+
+class NoParamsLeft(Exception):
+    """A tuner has proposed all that it can."""
+
+
+class GridSearchTuner:
+    """All combinations of ``n_points`` values of each range, in order."""
+
+    def __init__(self, space: dict, n_points: int = 10, random_seed: int = 0):
+        self.space = space
+        self._grid = iter(itertools.product(*[_values(v, n_points) for v in space.values()]))
+
+    def propose(self) -> dict:
+        got = next(self._grid, None)
+        if got is None:
+            raise NoParamsLeft
+        return dict(zip(self.space, got, strict=True))
+
+    def add(self, parameters: dict, score: float) -> None:
+        return None
+
+    def search_space_exhausted(self) -> bool:
+        self._grid, ahead = itertools.tee(self._grid)
+        return next(ahead, None) is None
+
+
+class RandomSearchTuner:
+    """Random parameters, without repeats unless asked for."""
+
+    def __init__(self, space: dict, with_replacement: bool = False, replacement_max_attempts: int = 10, random_seed: int = 0):
+        self.space, self.again, self.attempts = space, with_replacement, replacement_max_attempts
+        self.rng, self.seen = np.random.default_rng(random_seed), set()
+
+    def draw(self) -> dict:
+        out = {}
+        for k, v in self.space.items():
+            if isinstance(v, list):
+                out[k] = v[int(self.rng.integers(len(v)))]
+            elif isinstance(v[0], int) and isinstance(v[1], int):
+                out[k] = int(self.rng.integers(v[0], v[1] + 1))
+            else:
+                out[k] = float(self.rng.uniform(*v))
+        return out
+
+    def propose(self) -> dict:
+        for _ in range(self.attempts if not self.again else 1):
+            got = self.draw()
+            mark = repr(sorted(got.items()))
+            if self.again or mark not in self.seen:
+                self.seen.add(mark)
+                return got
+        raise NoParamsLeft
+
+    def add(self, parameters: dict, score: float) -> None:
+        return None
+
+
+class BayesianTuner(RandomSearchTuner):
+    """Of many random parameters the one that a smoother over the scores so far expects most of, with a bonus for distance."""
+
+    def __init__(self, space: dict, random_seed: int = 0, n_initial: int = 5, n_candidates: int = 200):
+        super().__init__(space, with_replacement=True, random_seed=random_seed)
+        self.n_initial, self.n_candidates, self.history = n_initial, n_candidates, []
+
+    def _point(self, p: dict) -> np.ndarray:
+        out = []
+        for k, v in self.space.items():
+            out.append(v.index(p[k]) / max(len(v) - 1, 1) if isinstance(v, list) else (p[k] - v[0]) / ((v[1] - v[0]) or 1))
+        return np.array(out, dtype=float)
+
+    def propose(self) -> dict:
+        if len(self.history) < self.n_initial:
+            return self.draw()
+        x = np.array([h[0] for h in self.history])
+        y = np.array([h[1] for h in self.history])
+        drawn = [self.draw() for _ in range(self.n_candidates)]
+        d2 = ((np.array([self._point(p) for p in drawn])[:, None, :] - x[None, :, :]) ** 2).sum(2)
+        w = np.exp(-d2 / 0.1) + 1e-9
+        expected = (w @ y) / w.sum(1)
+        bonus = (y.std() + 1e-9) * np.sqrt(d2.min(1))
+        return drawn[int(np.argmax(expected + bonus))]
+
+    def add(self, parameters: dict, score: float) -> None:
+        if score == score:
+            self.history.append((self._point(parameters), score))
+
 
 def best_per_name(results: DataFrame, name: str, score: str, greater_is_better: bool) -> DataFrame:
     """Each pipeline name's best row."""
     order = F.desc(score) if greater_is_better else F.asc(score)
     return results.withColumn("_r", F.row_number().over(W.partitionBy(name).orderBy(order))).where("_r = 1").drop("_r")
+
+
+@dataclass
+class Progress:
+    """Stop rules: time, iterations, batches, and a number of results without enough improvement."""
+
+    max_seconds: float | None = None
+    max_iterations: int | None = None
+    max_batches: int | None = None
+    patience: int | None = None
+    tolerance: float = 0.0
+    started: float = field(default_factory=time.time)
+
+    def go_on(self, n_results: int, n_batches: int, scores: list[float]) -> bool:
+        if self.max_seconds is not None and time.time() - self.started >= self.max_seconds:
+            return False
+        if self.max_iterations is not None and n_results >= self.max_iterations or self.max_batches is not None and n_batches >= self.max_batches:
+            return False
+        if self.patience is not None and len(scores) > self.patience:
+            best, since = scores[0], 0
+            for s in scores[1:]:
+                better = s > best and (best == 0 or abs(s - best) / abs(best) > self.tolerance)
+                best, since = (s, 0) if better else (best, since + 1)
+            return since < self.patience
+        return True
+
+
+@dataclass
+class Result:
+    id: int
+    pipeline: Pipeline
+    batch: int
+    cv_scores: list[float]
+    scores: dict[str, float]
+    errors: dict[str, str]
+    seconds: float
+
+    @property
+    def mean_cv_score(self) -> float:
+        return float(np.mean(self.cv_scores)) if self.cv_scores else float("nan")
+
+    def high_variance(self, objective: metrics.Objective, threshold: float = 0.5) -> bool:
+        """Whether folds differ by more than a share of the objective's range (or of the mean, where it is unbounded)."""
+        if len(self.cv_scores) < 2:
+            return False
+        spread = max(self.cv_scores) - min(self.cv_scores)
+        low, high = objective.bounds
+        width = high - low if high - low != float("inf") else abs(self.mean_cv_score)
+        return spread > threshold * width
+
+
+class AutoMLSearch:
+    """Batches of pipelines: first every allowed estimator with defaults, then tuned ones of the best, then an ensemble.
+
+    Folds are a column of one cached table, and a thread pool keeps several Spark jobs in flight.
+    """
+
+    def __init__(self, df: DataFrame, y: str, problem: str, key: str, objective: str = "auto", families: list[str] | None = None, excluded: list[str] | None = None, estimators: list[str] | None = None, n_splits: int = 3, max_batches: int = 1, max_iterations: int | None = None, max_seconds: float | None = None, patience: int | None = None, tolerance: float = 0.0, parallel: int = 2, parameters: dict | None = None, tuner=BayesianTuner, random_seed: int = 0, on_error: str = "log"):
+        self.df, self.y, self.problem, self.key = df, y, problem, key
+        self.objective = metrics.objective(metrics.default_objective(problem) if objective == "auto" else objective)
+        self.names = estimators or est.estimators_for(problem, families, excluded)
+        self.n_splits, self.parallel, self.parameters, self.tuner, self.seed, self.on_error = n_splits, parallel, parameters or {}, tuner, random_seed, on_error
+        self.progress = Progress(max_seconds, max_iterations, max_batches, patience, tolerance)
+        self.results: list[Result] = []
+        self.errors: list[tuple[str, str]] = []
+
+    def search(self) -> AutoMLSearch:
+        n = self.df.count()
+        sampler = None
+        if "regression" not in self.problem:
+            chosen = best_sampler(n, class_counts(self.df, self.y))
+            sampler = chosen if chosen == "Undersampler" else None
+        plan = make_splitter(n, self.problem, self.n_splits)
+        folds = 4 if plan["kind"] == "single" else self.n_splits
+        self.tested = [0] if plan["kind"] == "single" else list(range(folds))
+        table = hashed_folds(self.df, self.key, folds, self.seed).persist()
+        tuners = {e: self.tuner(est.ESTIMATORS[e].space, random_seed=self.seed) for e in self.names if est.ESTIMATORS[e].space}
+        batch, counter = 0, itertools.count()
+        while self.progress.go_on(len(self.results), batch, [self._gain(r) for r in self.results]):
+            work = [(e, {}) for e in self.names] if batch == 0 else [(e, tuners[e].propose()) for e in self._best_estimators(3) if e in tuners]
+            if not work:
+                break
+            with ThreadPoolExecutor(self.parallel) as pool:
+                done = list(pool.map(lambda w, b=batch: self._evaluate(next(counter), w[0], w[1], table, sampler, b), work))
+            for (e, p), r in zip(work, done, strict=True):
+                if r is not None:
+                    self.results.append(r)
+                    if p:
+                        tuners[e].add(p, self._gain(r))
+            batch += 1
+        table.unpersist()
+        return self
+
+    def _gain(self, r: Result) -> float:
+        return r.mean_cv_score if self.objective.greater_is_better else -r.mean_cv_score
+
+    def _best_estimators(self, k: int) -> list[str]:
+        ranked = sorted(self.results, key=lambda r: -self._gain(r) if self._gain(r) == self._gain(r) else float("inf"))
+        return list(dict.fromkeys(r.pipeline.graph.order[-1] for r in ranked))[:k]
+
+    def _evaluate(self, i: int, name: str, parameters: dict, table: DataFrame, sampler: str | None, batch: int) -> Result | None:
+        began = time.time()
+        try:
+            base = table.drop("fold")
+            p = {**self.parameters, name: self.parameters.get(name, {}) | parameters}
+            pipeline = make_pipeline(base, self.y, name, self.problem, p, sampler, self.key)
+            wanted = [self.objective.name]
+            cv, other, errors = [], {}, {}
+            for k in self.tested:
+                fitted = pipeline.clone().fit(table.where(F.col("fold") != k).drop("fold") if len(self.tested) > 1 else table.where(F.col("fold") == 0).drop("fold"), self.y)
+                test = table.where(F.col("fold") == k).drop("fold") if len(self.tested) > 1 else table.where(F.col("fold") != 0).drop("fold")
+                got = fitted.score(test, wanted)
+                errors |= got.errors
+                if self.objective.name in got.values:
+                    cv.append(got.values[self.objective.name])
+                other = got.values
+            return Result(i, fitted, batch, cv, other, errors, time.time() - began)
+        except Exception as e:  # noqa: BLE001 - one pipeline's failure must not end the search
+            if self.on_error == "raise":
+                raise
+            self.errors.append((name, str(e).splitlines()[0]))
+            return None
+
+    def full_rankings(self) -> DataFrame:
+        rows = [(r.id, r.pipeline.name, r.batch, r.mean_cv_score, r.high_variance(self.objective), r.seconds) for r in self.results]
+        t = self.df.sparkSession.createDataFrame(rows, "id int, pipeline_name string, batch int, mean_cv_score double, high_variance_cv boolean, seconds double")
+        return t.orderBy(F.desc("mean_cv_score") if self.objective.greater_is_better else F.asc("mean_cv_score"))
+
+    def rankings(self) -> DataFrame:
+        return best_per_name(self.full_rankings(), "pipeline_name", "mean_cv_score", self.objective.greater_is_better)
+
+    def best_pipeline(self) -> Pipeline:
+        best = max((r for r in self.results if r.cv_scores), key=self._gain)
+        return best.pipeline.clone().fit(self.df, self.y)
+
+    def describe(self, i: int) -> dict:
+        r = next(r for r in self.results if r.id == i)
+        return r.pipeline.describe() | {"cv_scores": r.cv_scores, "scores": r.scores, "errors": r.errors, "seconds": r.seconds}
+
+
+def search(df: DataFrame, y: str, problem: str, key: str, **options) -> tuple[AutoMLSearch | None, list[Message]]:
+    """Data checks, then a search; errors of the checks stop it."""
+    messages = default_checks(df.drop(key), y, problem, options.pop("problem_configuration", None))
+    if any(m.level == "error" for m in messages):
+        return None, messages
+    return AutoMLSearch(df, y, problem, key, **options).search(), messages
