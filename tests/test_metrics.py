@@ -58,8 +58,8 @@ def test_regression(spark):
 
 
 def test_mase(spark):
-    train = spark.createDataFrame(list(enumerate([5, 0.5, 4, 6, 3, 5, 2])), "t long, v double")
-    test = spark.createDataFrame(list(zip([3, -0.5, 2, 7, 2.0], [2.5, 0.0, 2, 8, 1.25], strict=True)), "y double, p double")
+    train = spark.createDataFrame(list(enumerate([5.0, 0.5, 4.0, 6.0, 3.0, 5.0, 2.0])), "t long, v double")
+    test = spark.createDataFrame(list(zip([3.0, -0.5, 2.0, 7.0, 2.0], [2.5, 0.0, 2.0, 8.0, 1.25], strict=True)), "y double, p double")
     assert m.mase(test, "y", "p", train, "v", "t").first()["MASE"] == pytest.approx(0.18333333333333335)
 
 
