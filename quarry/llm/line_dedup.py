@@ -139,9 +139,9 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words:
     gone = deletions(df, text, doc_id, min_words)
     (key,) = common.fresh(df, "_rk")
     base = df.drop(*[c for c in ("n_lines", "gone") if c != text])
-    (may,) = common.fresh(base, "_may")
+    may, right = common.fresh(base, "_may", "_gone_of")
     keyed = common.marked(base.withColumn(key, content_key(doc_id, text)), key, gone.select("rk"), may)
-    touched = keyed.where(may).join(gone.hint("merge"), F.col(key) == F.col("rk"), "left")
+    touched = keyed.where(may).join(gone.withColumnRenamed("rk", right).hint("merge"), F.col(key) == F.col(right), "left")
     joined = touched.unionByName(keyed.where(~F.col(may)), allowMissingColumns=True)
     names = [*base.columns]
     at, mark = names.index(text), len(names)

@@ -2,7 +2,7 @@
 
 Base spans come from one regular expression for each kind, scanned left to right without overlaps. They seed a
 bootstrap: the two words before an identifier form a pattern together with its kind; tokens that hold digits or an @ and
-are no base span are candidate instances. Pattern and instance scores are computed in turns on the graph of their
+touch no base span are candidate instances. Pattern and instance scores are computed in turns on the graph of their
 occurrences: a pattern's score is the mean score of what it precedes (seeds count 1), an instance's score the largest of
 its patterns'. Tokens after patterns that score high and rest on several different seeds become spans of that kind.
 
@@ -78,20 +78,32 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of_kind(k, kind) for k, kind in enumerate(KINDS)])
 
 
+def _context(before: Column) -> Column:
+    """The last two words, lower case and with digits alike; fewer words give an empty context."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(before, "[0-9]", "0")), f"[{SPACE}]+"), lambda w: w != "")
+    return F.array_join(F.slice(words, -2, 2), " ")
+
+
 def candidates(text: Column, spans: Column) -> Column:
-    """Array of (s, e, token, left, kind): identifier-like tokens with the two words before, and the kind that overlaps."""
-    trim = r"^[^\p{L}0-9@+(]+|[^\p{L}0-9)]+$"
+    """Array of (s, e, token, left, kind): base spans, and identifier-like tokens beside them (kind null), each with the
+    two words before it."""
+    lead = r"^[^\p{L}0-9@+(]+"
+    trim = rf"{lead}|[^\p{{L}}0-9)]+$"
 
-    def one(x: Column) -> Column:
-        left = F.filter(F.split(F.lower(F.regexp_replace(x["l"], "[0-9]", "0")), f"[{SPACE}]+"), lambda w: w != "")
-        lead = F.length(x["m"]) - F.length(F.regexp_replace(x["m"], r"^[^\p{L}0-9@+(]+", ""))
+    def unknown(x: Column) -> Column:
+        start = x["s"] + F.length(x["m"]) - F.length(F.regexp_replace(x["m"], lead, ""))
         token = F.regexp_replace(x["m"], trim, "")
-        start = x["s"] + lead
-        kinds = F.filter(spans, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
-        return F.struct(start.alias("s"), (start + F.length(token)).alias("e"), F.lower(token).alias("token"), F.array_join(F.slice(left, -2, 2), " ").alias("left"), F.get(kinds, F.lit(0))["kind"].alias("kind"), F.size(left).alias("n"))
+        return F.struct(start.alias("s"), (start + F.length(token)).alias("e"), F.lower(token).alias("token"), _context(x["l"]).alias("left"), F.lit(None).cast("int").alias("kind"))
+
+    def seed(b: Column) -> Column:
+        low = F.greatest(b["s"] - 64, F.lit(0))
+        token = F.lower(F.substring(text, b["s"] + 1, b["e"] - b["s"]))
+        return F.struct(b["s"].alias("s"), b["e"].alias("e"), token.alias("token"), _context(F.substring(text, low + 1, b["s"] - low)).alias("left"), b["kind"].alias("kind"))
 
-    kept = F.filter(F.transform(found(text, _TOKEN, 64), one), lambda c: (c["n"] >= 2) & (F.length(c["token"]) >= 4))
-    none = F.array().cast("array<struct<s:int,e:int,token:string,left:string,kind:int,n:int>>")
+    beside = F.filter(found(text, _TOKEN, 64), lambda x: ~F.exists(spans, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    both = F.concat(F.transform(spans, seed), F.transform(beside, unknown))
+    kept = F.filter(both, lambda c: (F.length(c["token"]) >= 4) & c["left"].contains(" "))
+    none = F.array().cast("array<struct<s:int,e:int,token:string,left:string,kind:int>>")
     return F.when(text.rlike("[0-9@]"), kept).otherwise(none)
 
 
