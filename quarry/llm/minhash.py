@@ -35,7 +35,7 @@ from quarry.llm import common, shingles
 from quarry.llm.components import connected
 
 #: Trees, classes beside the largest component that a node may hold without branching, greatest depth, rows in a chunk.
-TREES, NODE, DEPTH, CHUNK = 16, 400, 6, 500
+TREES, NODE, DEPTH, CHUNK = 16, 1000, 6, 1000
 #: Signatures that agree on fewer coordinates are no candidates: at similarity 0.75 that is 4.6 standard deviations off.
 AGREE = 32
 #: Bits of the bitmap that preselects texts to read again.
