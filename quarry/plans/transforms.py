@@ -153,7 +153,8 @@ def email_features(spark, sf_dir):
     return c.select("c_custkey", domain.alias("domain"), domain.isin(*featurize.FREE_DOMAINS).alias("is_free"))
 
 
-_WORDS = r"list_filter(string_split_regex(lower(translate(text, '!""#$%&''()*+,-./:;<=>?@[\]^_`{|}~', '')), '\s+'), lambda w: w <> '')".replace('""', '"')
+_PUNCTUATION = featurize.PUNCTUATION.replace("'", "''")
+_WORDS = f"list_filter(string_split_regex(lower(translate(text, '{_PUNCTUATION}', '')), '\\s+'), lambda w: w <> '')"
 
 
 @register("text_features", f"select doc_id, len({_WORDS})::integer as num_words, round(len(list_distinct({_WORDS})) * 1.0 / nullif(len({_WORDS}), 0), 6) as diversity from documents")
