@@ -178,3 +178,92 @@ def prediction_vs_actual(df: DataFrame, y: str, pred: str, outlier_threshold: fl
     out = df.select(F.col(pred).alias("prediction"), F.col(y).alias("actual"))
     far = F.abs(F.col("prediction") - F.col("actual")) >= F.lit(outlier_threshold) if outlier_threshold is not None else F.lit(False)
     return out.withColumn("outlier", far)
+
+
+def chi_square(df: DataFrame, y: str, pred: str) -> tuple[float, float]:
+    """Statistic and p-value of predicted class counts against the labels'; one row a class is collected."""
+    from quarry.plans.profile import gamma_cdf
+
+    cells = df.select(F.inline(F.array(F.struct(F.col(y).cast("string").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col(pred).cast("string").alias("c"), F.lit(0).alias("t"), F.lit(1).alias("p")))))
+    rows = cells.groupBy("c").agg(F.sum("t").alias("t"), F.sum("p").alias("p")).collect()
+    stat = sum((r.p - r.t) ** 2 / r.t if r.t else float("inf") for r in rows)
+    return stat, 0.0 if stat == float("inf") else 1 - gamma_cdf(stat / 2, max(len(rows) - 1, 1) / 2)
+
+
+def kolmogorov_smirnov(df: DataFrame, y: str, pred: str) -> tuple[float, float]:
+    """Largest distance of the two distribution functions, and its p-value; windows hold distinct values."""
+    import math
+
+    values = df.select(F.inline(F.array(F.struct(F.col(y).cast("double").alias("v"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col(pred).cast("double").alias("v"), F.lit(0).alias("t"), F.lit(1).alias("p")))))
+    each = values.groupBy("v").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
+    up, whole = W.partitionBy(F.lit(0)).orderBy("v").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(F.lit(0))
+    gap = F.abs(F.sum("t").over(up) / F.sum("t").over(whole) - F.sum("p").over(up) / F.sum("p").over(whole))
+    got = each.select(gap.alias("d"), F.sum("t").over(whole).alias("n")).agg(F.max("d").alias("d"), F.max("n").alias("n")).first()
+    x = got["d"] * math.sqrt(got["n"] / 2)
+    p = 1.0 if x < 0.2 else min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)))
+    return got["d"], p
+
+
+def same_distribution(df: DataFrame, y: str, pred: str, problem: str, threshold: float = 0.1) -> int:
+    """1 if predictions may have the labels' distribution."""
+    test = kolmogorov_smirnov if "regression" in problem else chi_square
+    return int(test(df, y, pred)[1] >= threshold)
+
+
+def coefficients(spark, estimator) -> DataFrame:
+    """(feature, coefficient) of a linear model, the intercept first, then by value."""
+    m = estimator.model
+    rows = sorted(zip(estimator.features, map(float, m.coefficients.toArray()), strict=False), key=lambda x: x[1])
+    return spark.createDataFrame([("Intercept", float(m.intercept)), *rows], "feature string, coefficient double")
+
+
+def tree(estimator) -> dict:
+    """A decision tree as nested dictionaries of feature, threshold, left and right, or value at leaves."""
+    import re
+
+    lines = [x for x in estimator.model.toDebugString.splitlines() if x.strip()][1:]
+
+    def read(at: int) -> tuple[dict, int]:
+        text = lines[at].strip()
+        if text.startswith("Predict:"):
+            return {"value": float(text.split(":")[1])}, at + 1
+        m = re.match(r"If \(feature (\d+) (?:<=|in) (.*)\)", text)
+        left, at = read(at + 1)
+        right, at = read(at + 1)
+        limit = m[2]
+        return {"feature": estimator.features[int(m[1])], "threshold": float(limit) if not limit.startswith("{") else limit, "left": left, "right": right}, at
+
+    return read(0)[0]
+
+
+def t_sne(df: DataFrame, features: list[str], n_components: int = 2, perplexity: float = 30.0, max_rows: int = 1000, steps: int = 300) -> DataFrame:
+    """An embedding of a sample of bounded size (the rows with the least hashes), by gradient descent on the driver."""
+    import numpy as np
+
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in features]).dropna().orderBy(F.xxhash64(*features), *features).limit(max_rows).collect()
+    x = np.array([list(r) for r in rows], dtype=float)
+    n = len(x)
+    d2 = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+    p = np.zeros((n, n))
+    for i in range(n):  # the width of each row's kernel by bisection on the entropy
+        low, high, beta = 0.0, np.inf, 1.0
+        for _ in range(40):
+            w = np.exp(-(d2[i] - np.delete(d2[i], i).min()) * beta)
+            w[i] = 0
+            q = w / w.sum()
+            h = -(q[q > 0] * np.log(q[q > 0])).sum()
+            if abs(h - np.log(perplexity)) < 1e-4:
+                break
+            low, high = (beta, high) if h > np.log(perplexity) else (low, beta)
+            beta = beta * 2 if high == np.inf else (low + high) / 2
+        p[i] = q
+    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    y = np.random.default_rng(0).standard_normal((n, n_components)) * 1e-4
+    move = np.zeros_like(y)
+    for step in range(steps):
+        k = 1 / (1 + ((y[:, None, :] - y[None, :, :]) ** 2).sum(2))
+        np.fill_diagonal(k, 0)
+        g = ((4 if step < 100 else 1) * p - k / k.sum()) * k
+        move = (0.5 if step < 100 else 0.8) * move - 200 * 4 * (np.diag(g.sum(1)) - g) @ y
+        y = y + move
+    return df.sparkSession.createDataFrame([tuple(map(float, r)) for r in y], ", ".join(f"component_{i} double" for i in range(n_components)))

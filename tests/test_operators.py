@@ -163,3 +163,25 @@ def test_streaming_profile_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(str, spark.table("streamed").collect())) == sorted(map(str, streaming.windowed(events).collect()))
+
+
+def test_distributions_and_trees(spark):
+    from quarry.plans import explain
+
+    df = spark.createDataFrame([(float(i % 10), float(i % 10), i % 2, 0, float(i % 10 > 4)) for i in range(200)], "a double, b double, y int, p int, t double")
+    assert explain.same_distribution(df, "a", "b", "regression") == 1
+    assert explain.same_distribution(df, "y", "p", "binary") == 0
+    model = estimators.Estimator("DecisionTreeRegressor", max_depth=2).fit(df, "t", ["a"])
+    got = explain.tree(model)
+    assert got["feature"] == "a" and 4 <= got["threshold"] < 5 and got["left"] == {"value": 0.0}
+    line = estimators.Estimator("LinearRegressor").fit(df.selectExpr("a", "2 * a + 1 as z"), "z", ["a"])
+    assert {r.feature: round(r.coefficient, 6) for r in explain.coefficients(spark, line).collect()} == {"Intercept": 1.0, "a": 2.0}
+
+
+def test_driver_helpers():
+    from quarry.functions import utils
+
+    assert utils.convert_to_seconds("3 hours") == 10800.0 and utils.convert_to_seconds("2 min") == 120.0
+    with pytest.raises(ValueError):
+        utils.convert_to_seconds("1 fortnight")
+    assert utils.contains_ts_parameters({"gap": 1})[0] is False
