@@ -228,15 +228,29 @@ def boxplots(df: DataFrame, names: list[str]) -> dict[str, dict]:
     return out
 
 
-def outlier_check(df: DataFrame, y: str | None = None, share: float = 0.05) -> list[Message]:
-    """Columns of which more than a share lies beyond the fences."""
+# Coefficients of the powers 0 to 7 of ln(n) that give the logarithms of the shape and of the scale of the
+# gamma distribution of the share of points beyond the fences in samples of n rows without outliers.
+LOG_SHAPE = (25.8218734380722, -29.2320460088643, 14.8228030299864, -4.08052512660036, 0.641429075842177, -0.0571252717322226, 0.00268694343911156, -5.19415149920567e-05)
+LOG_SCALE = (-19.8196822259052, 18.5359212447622, -8.80487628113388, 2.27711870991327, -0.344443407676357, 0.029820831994345, -0.00136611527293756, 2.56727158170901e-05)
+
+
+def no_outlier_probability(n: int, share: float) -> float:
+    """How likely a share of points beyond the fences is among n rows that hold no outliers."""
+    if n < 2:
+        return 1.0
+    shape, scale = (math.exp(sum(c * math.log(n) ** k for k, c in enumerate(cs))) for cs in (LOG_SHAPE, LOG_SCALE))
+    return 1 - gamma_cdf(share / scale, shape)
+
+
+def outlier_check(df: DataFrame, y: str | None = None, least: float = 0.9) -> list[Message]:
+    """Columns with points beyond the fences that rows without outliers would hardly have."""
     names = [c for c in features_of(df, y) if schema.logical_types(df)[c] in schema.NUMERIC]
     boxes = boxplots(df, names)
     if not boxes:
         return []
     beyond = lambda c, b: F.count(F.when((F.col(f"`{c}`") < b["low_bound"]) | (F.col(f"`{c}`") > b["high_bound"]), 1))
-    got = df.agg(F.count(F.lit(1)).alias("n"), *[beyond(c, b).alias(f"o{i}") for i, (c, b) in enumerate(boxes.items())]).first()
-    found = {c: got[f"o{i}"] for i, c in enumerate(boxes) if got[f"o{i}"] > share * got["n"]}
+    got = df.agg(*[f for i, (c, b) in enumerate(boxes.items()) for f in (beyond(c, b).alias(f"o{i}"), F.count(F.col(f"`{c}`")).alias(f"n{i}"))]).first()
+    found = {c: got[f"o{i}"] for i, c in enumerate(boxes) if got[f"o{i}"] and no_outlier_probability(got[f"n{i}"], got[f"o{i}"] / got[f"n{i}"]) <= least}
     return [Message("OutliersDataCheck", "warning", "HAS_OUTLIERS", f"columns {list(found)} have outliers", {"columns": list(found), "rows": found}, [Action("drop_rows", "OutliersDataCheck", {"columns": list(found)})])] if found else []
 
 

@@ -185,3 +185,11 @@ def test_driver_helpers():
     with pytest.raises(ValueError):
         utils.convert_to_seconds("1 fortnight")
     assert utils.contains_ts_parameters({"gap": 1})[0] is False
+
+
+def test_outliers(spark):
+    calm = [(float(i % 10),) for i in range(500)]
+    assert profile.outlier_check(spark.createDataFrame(calm, "x double")) == []
+    found = profile.outlier_check(spark.createDataFrame([*calm, *[(1000.0 + i,) for i in range(60)]], "x double"))
+    assert found[0].code == "HAS_OUTLIERS" and found[0].details["rows"] == {"x": 60}
+    assert profile.no_outlier_probability(500, 0.0) == 1.0
