@@ -35,7 +35,7 @@ from quarry.llm import common, shingles
 from quarry.llm.components import connected
 
 #: Trees, classes beside the largest component that a node may hold without branching, greatest depth, rows in a chunk.
-TREES, NODE, DEPTH, CHUNK = 16, 1000, 6, 1000
+TREES, NODE, DEPTH, CHUNK = 16, 1000, 6, 500
 #: Signatures that agree on fewer coordinates are no candidates: at similarity 0.75 that is 4.6 standard deviations off.
 AGREE = 32
 #: Bits of the bitmap that preselects texts to read again.
@@ -164,6 +164,8 @@ def _confirmed(percent: int):
         x, y = np.nonzero(agree)
         order = np.argsort(-agree[x, y].astype(int), kind="stable")
         sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rows]
+        ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum([len(s) for s in sets])[:-1])
+        marks = np.zeros(max(len(i) and int(i.max()) + 1 for i in ids), dtype=bool)
         parent = {r[3]: r[3] for r in rows}
 
         def root(c: int) -> int:
@@ -176,7 +178,9 @@ def _confirmed(percent: int):
         for i, j in zip(x[order], y[order], strict=True):
             u, v = root(rows[i][3]), root(rows[j][3])
             if u != v:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                marks[ids[i]] = True
+                both = int(marks[ids[j]].sum())
+                marks[ids[i]] = False
                 if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                     parent[max(u, v)] = min(u, v)
                     a.append(rows[i][2])
