@@ -5,6 +5,8 @@ is a table of counts over logarithmic buckets (relative error 1 %): sketches mer
 so results do not depend on how rows were dealt out, and a group's sketch, its language's and the whole corpus' come from
 one aggregation. A group with fewer than ``min_docs`` documents takes its language's fences, then the corpus'. Fences lie
 beyond the 95th percentile by a multiple of its distance from the median, so that a clean group loses nothing by them.
+That percentile is not read off, as junk may hold it, but carried on from the quartile, which junk of up to a quarter of
+a group does not reach.
 
 Null texts count as texts without words; they fail the base rule like all texts of under 20 words. Null languages and
 sources form groups of their own. Repeated rows are judged each for itself. An empty table gives an empty result.
@@ -23,7 +25,9 @@ from quarry.llm.common import SPACE, let
 GAMMA = 1.02
 #: Windows of so many words are compared within a text.
 WINDOW = 8
-#: For each measure: whether it has a lower fence, and the least distance of a fence from the 95th (5th) percentile.
+#: Distance of the 95th percentile from the median over that of the upper quartile, in a normal distribution.
+TAIL = 1.6449 / 0.6745
+#: For each measure: whether it has a lower fence, and the least distance of a fence from the 95th (5th) percentile so found.
 MEASURES = {"mean_word": (True, 1.0), "symbol_share": (False, 0.05), "dup_line_share": (False, 0.2), "repeat_share": (False, 0.2)}
 
 
@@ -109,11 +113,12 @@ def quantiles(sketch: DataFrame, keys: list[str], shares: dict[str, float]) -> D
 
 def fences(sketch: DataFrame, keys: list[str], reach: float) -> DataFrame:
     """One row for each group: its size and a map from measure to (low, high)."""
-    q = quantiles(sketch, keys, {"q05": 0.05, "q50": 0.5, "q95": 0.95})
+    q = quantiles(sketch, keys, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    above, below = TAIL * (F.col("q75") - F.col("q50")), TAIL * (F.col("q50") - F.col("q25"))
     pad = F.create_map(*[x for k, (_, p) in MEASURES.items() for x in (F.lit(k), F.lit(p))])[F.col("measure")]
     lower = F.col("measure").isin([k for k, (low, _) in MEASURES.items() if low])
-    high = F.col("q95") + F.greatest(reach * (F.col("q95") - F.col("q50")), pad)
-    low = F.when(lower, F.col("q05") - F.greatest(reach * (F.col("q50") - F.col("q05")), pad)).otherwise(F.lit(-1.0))
+    high = F.col("q50") + above + F.greatest(reach * above, pad)
+    low = F.when(lower, F.col("q50") - below - F.greatest(reach * below, pad)).otherwise(F.lit(-1.0))
     pair = F.struct(low.alias("low"), high.alias("high"))
     return q.groupBy(*keys).agg(F.max("n").alias("n_docs"), *[F.max(F.when(F.col("measure") == k, pair)).alias(k) for k in MEASURES])
 

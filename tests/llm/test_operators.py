@@ -110,6 +110,22 @@ def test_quality(spark, docs):
     assert quality.keep_good(df).columns == df.columns
 
 
+def test_quality_fences_hold_against_a_tenth_of_junk(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [w * k for w in ("ab", "cde", "fghi", "jklmno") for k in (1, 2)]
+    junk = lambda w: w + "### of***"
+    rows = []
+    for i in range(600):
+        bad = i % 10 == 0
+        text = " ".join(f"{rng.choice(words)}{i}x{j}" for j in range(60))
+        rows.append((i, " ".join(map(junk, text.split())) if bad else text, "en", f"s{i % 2}" if not bad else "s0", bad))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, bad boolean")
+    kept = {r.doc_id for r in quality.keep_good(df).collect()}
+    assert kept == {i for i, *_, bad in rows if not bad}
+
+
 def test_sketch_quantiles(spark):
     df = spark.range(1, 2001).selectExpr("'a' as g", "id")
     from pyspark.sql import functions as F
