@@ -7,8 +7,10 @@ A text's features are that difference, normalised by length, over the whole text
 12 words, so that an insult is not diluted by the length of the text around it. A logistic function of these features,
 fitted on at most ``MAX_CALIBRATION`` labelled texts (those whose ids have the least hashes), gives the score.
 
-Words are hashed into 2**BITS buckets, and of the pairs the ``PAIRS`` most frequent toxic ones are kept, so what is
-collected and broadcast has a fixed size. Texts are scored in one pass without an exchange.
+Words are hashed to BITS bits. The table of differences holds every word, and every pair that a class has more often
+than the discount: for any other pair the model is the fall back, so its difference is the word's, and leaving it out
+changes nothing. The table grows with the corpus. One of up to ``BROADCAST_CODES`` rows is broadcast, and texts are scored
+in one pass; a larger one is joined with the distinct words and pairs of blocks of texts. Both ways give the same scores.
 
 Null and empty texts get the score of texts without words. Labels are joined by id: null ids have none, several labels
 of an id count as toxic if one is. Labels, languages, sources and ids are no inputs of scores. Without labels of both
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common, shingles
 
-#: Buckets of words, discount, pairs kept, lengths of runs, texts that the logistic function is fitted on.
-BITS, DISCOUNT, PAIRS, RUNS, MAX_CALIBRATION = 18, 4.0, 1 << 17, (1, 4, 12), 4000
-#: Pairs seen less often in toxic texts than this say more about copied texts than about language; words stand for them.
-LEAST_PAIR = 40
+#: Bits of a word's hash, discount, lengths of runs, texts that the logistic function is fitted on.
+BITS, DISCOUNT, RUNS, MAX_CALIBRATION = 31, 4.0, (1, 4, 12), 4000
+#: Tables of differences of up to this many rows (12 bytes each) are broadcast; larger ones are joined by blocks of texts.
+BROADCAST_CODES = 2_000_000
+#: Texts in a block.
+BLOCK = 500
 #: Labels up to this many rows (12 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 500_000
 
@@ -83,32 +87,52 @@ def counted(labelled: DataFrame) -> DataFrame:
     return each.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
+def lower_order(counts: DataFrame) -> DataFrame:
+    """(word, toxic, ordinary): the counts that the models of single words are made from."""
+    return counts.where("code < 0").select((-1 - F.col("code")).alias("word"), F.col("toxic").cast("double"), F.col("ordinary").cast("double"))
+
+
+def differences(counts: DataFrame) -> DataFrame:
+    """(code, gap): log-likelihood differences of all words and of the pairs that differ from their word's."""
+    kept = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+    words = common.written(lower_order(counts), "words")
+    t, o, kt, ko, n = (float(x or 0) for x in words.agg(F.sum("toxic"), F.sum("ordinary"), F.sum(kept("toxic")), F.sum(kept("ordinary")), F.count(F.lit(1))).first())
+    back = 1 - min(kt / t, ko / o) if t > 0 and o > 0 else 1.0
+    shared = (F.col("toxic") + F.col("ordinary") + 0.1) / (t + o + 0.1 * n + 0.1)
+    p = lambda c, k: (1 - back) * kept(c) / max(k, 1.0) + back * shared
+    single = common.written(words.select("word", p("toxic", kt).alias("pt"), p("ordinary", ko).alias("po")), "single")
+    pairs = counts.where("code >= 0").select("code", F.shiftright("code", BITS).alias("before"), F.col("code").bitwiseAND(F.lit(_START)).alias("word"), "toxic", "ordinary")
+    share = lambda c: F.sum(kept(c)) / F.greatest(F.sum(c), F.lit(1))
+    weight = F.greatest(F.least(1 - F.least(share("toxic"), share("ordinary")), F.lit(1.0)), F.lit(0.2))  # of the fall back, one for both classes
+    contexts = common.written(pairs.groupBy("before").agg(weight.alias("weight"), F.sum(kept("toxic")).alias("kt"), F.sum(kept("ordinary")).alias("ko")), "contexts")
+    strong = pairs.where((F.col("toxic") > DISCOUNT) | (F.col("ordinary") > DISCOUNT))
+    joined = common.bounded_join(common.bounded_join(strong, contexts, ["before"]), single, ["word"])
+    q = lambda c, k, w: (1 - F.col("weight")) * kept(c) / F.greatest(F.col(k), F.lit(1.0)) + F.col("weight") * F.col(w)
+    of_pairs = joined.select("code", (F.log(q("toxic", "kt", "pt")) - F.log(q("ordinary", "ko", "po"))).cast("float").alias("gap"))
+    of_words = single.select((-1 - F.col("word")).alias("code"), (F.log("pt") - F.log("po")).cast("float").alias("gap"))
+    out = common.written(of_words.unionAll(of_pairs), "differences")
+    common.release(words, single, contexts)
+    return out
+
+
 class Model:
-    """Log-likelihood differences of words and of the kept pairs."""
-
-    def __init__(self, words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
-        """words: toxic and ordinary counts by bucket. contexts: counts and discounted counts of both classes by bucket."""
-        total = words.sum(axis=0)
-        shared = (words.sum(axis=1) + 0.1) / (words + 0.05).sum()
-        seen = np.maximum(words - DISCOUNT, 0)
-        back = 1 - (seen.sum(axis=0) / np.maximum(total, 1)).min() if total.min() > 0 else 1.0
-        p = (1 - back) * seen / np.maximum(seen.sum(axis=0), 1) + back * shared[:, None]
-        self.word = (np.log(p[:, 0]) - np.log(p[:, 1])).astype(np.float32)
-        before, word = pairs >> BITS, pairs & _START
-        counts, kept = contexts[before, :2], contexts[before, 2:]
-        weight = np.clip(1 - (kept / np.maximum(counts, 1)).min(axis=1), 0.2, 1.0)  # of the fall back, one for both classes
-        q = (1 - weight)[:, None] * np.maximum(pair_counts - DISCOUNT, 0) / np.maximum(kept, 1) + weight[:, None] * p[word]
-        order = np.argsort(pairs)
-        self.codes, self.pair = pairs[order], (np.log(q[:, 0]) - np.log(q[:, 1])).astype(np.float32)[order]
-        self.fit = np.zeros(len(RUNS) + 2)
+    """Log-likelihood differences by sorted code, and the weights of the features."""
+
+    def __init__(self, codes: np.ndarray, gaps: np.ndarray, fit: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.gaps, self.fit = codes[order], gaps[order], fit
+
+    def looked_up(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.codes):
+            return np.zeros(len(code)), np.zeros(len(code), dtype=bool)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = self.codes[at] == code
+        return np.where(hit, self.gaps[at], 0.0).astype(float), hit
 
     def differences(self, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        out = self.word[word].astype(float)
-        if len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, pair), len(self.codes) - 1)
-            hit = self.codes[at] == pair
-            out[hit] = self.pair[at[hit]]
-        return out
+        """The pair's difference, else the word's, else none."""
+        gap, hit = self.looked_up(pair)
+        return np.where(hit, gap, self.looked_up(-1 - word)[0])
 
     def features(self, texts: list[str]) -> np.ndarray:
         doc, word, pair = tokens(texts)
@@ -145,7 +169,64 @@ def fold(doc_id: str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
+class Trained:
+    """The table of differences, and the weights and intercept of the features."""
+
+    def __init__(self, table: DataFrame):
+        self.table, self.fit = table, np.zeros(len(RUNS) + 2)
+        self.small = table.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES
+
+
+def mapped(df: DataFrame, model: Trained, text: str, out: str, kind: str) -> DataFrame:
+    """Add the features (array<double>) or the score (double) of each text."""
+    common.worker_imports(df.sparkSession)
+    at, names, fit = df.columns.index(text), df.columns, model.fit
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{out}` {kind}"])
+
+    def values(m: Model, texts: pa.Array) -> pa.Array:
+        if kind == "double":
+            return pa.array(np.concatenate([m.score(p) for p in shingles.chunks(texts)] or [np.zeros(0)]))
+        return pa.array(list(np.concatenate([m.features(p) for p in shingles.chunks(texts)] or [np.zeros((0, len(RUNS) + 1))])), pa.list_(pa.float64()))
+
+    if model.small:
+        got = model.table.toPandas()  # at most BROADCAST_CODES rows
+        held = df.sparkSession.sparkContext.broadcast(Model(got["code"].to_numpy(dtype=np.int64), got["gap"].to_numpy(dtype=np.float32), fit))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, values(held.value, batch.column(at))], names=[*names, out])
+
+        return df.mapInArrow(run, schema)
+
+    block, b = common.fresh(df, "_block", "_b")
+    rows = [F.col(f"`{c}`") for c in names if df.schema[c].dataType.typeName() != "map"]
+    blocks = df.count() // BLOCK + 1
+    table = common.written(df.withColumn(block, F.pmod(F.xxhash64(*rows), F.lit(blocks))).repartition(block).sortWithinPartitions(block), "blocks")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, number = 0, batch.column(0).to_numpy()
+            for part in shingles.chunks(batch.column(1)):
+                doc, word, pair = tokens(part)
+                of = number[low : low + len(part)][doc]
+                low += len(part)
+                for k in np.unique(of):
+                    code = np.unique(np.concatenate([pair[of == k], -1 - word[of == k]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k)), pa.array(code)], names=[b, "code"])
+
+    asked = table.select(block, F.col(text).cast("string").alias("text")).mapInArrow(grams, f"{b} bigint, code bigint").distinct()
+    found = common.salted_join(asked, model.table, ["code"]).where("gap is not null")
+
+    def scored_block(left: pa.Table, right: pa.Table) -> pa.Table:
+        m = Model(right["code"].to_numpy().astype(np.int64), right["gap"].to_numpy().astype(np.float32), fit)
+        left = left.select(names).combine_chunks()
+        texts = left.column(at).combine_chunks() if left.num_rows else pa.array([], pa.string())
+        return left.append_column(out, values(m, texts))
+
+    return table.groupBy(block).cogroup(found.groupBy(b)).applyInArrow(scored_block, schema)
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Trained:
     """A model from all labelled texts of ``labels`` (doc_id, toxic)."""
     common.worker_imports(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -154,52 +235,24 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(known) if few else known, F.col("id") == F.col("l_id"))
     counts = common.written(counted(rows.select(F.col("toxic").cast("bigint"), "text")), "counts")
 
-    size = 1 << BITS
-    words = np.zeros((size, 2))
-    got = counts.where("code < 0").toPandas()  # at most 2**BITS rows
-    words[-1 - got["code"].to_numpy(dtype=np.int64)] = got[["toxic", "ordinary"]].to_numpy(dtype=float)
-    kept = lambda c: F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)))
-    got = counts.where("code >= 0").groupBy(F.shiftright("code", BITS).alias("b")).agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"), kept("toxic").alias("kt"), kept("ordinary").alias("ko")).toPandas()
-    contexts = np.zeros((size, 4))
-    contexts[got["b"].to_numpy(dtype=np.int64)] = got[["t", "o", "kt", "ko"]].to_numpy(dtype=float)
-    got = counts.where(f"code >= 0 and toxic > {LEAST_PAIR}").orderBy(F.desc("toxic"), "code").limit(PAIRS).toPandas()
-    model = Model(words, contexts, got["code"].to_numpy(dtype=np.int64), got[["toxic", "ordinary"]].to_numpy(dtype=float))
+    model = Trained(differences(counts))
     common.release(counts)
 
     chosen = known.orderBy(F.xxhash64("l_id"), "l_id").limit(MAX_CALIBRATION)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.concatenate([held.value.features(p) for p in shingles.chunks(batch.column(1))] or [np.zeros((0, len(RUNS) + 1))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
-
     sample = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("l_id"))
-    got = sample.select("toxic", "text").mapInArrow(run, "toxic int, x array<double>").limit(4 * MAX_CALIBRATION).toPandas()
+    got = mapped(sample.select("toxic", "text"), model, "text", "x", "array<double>").select("toxic", "x").limit(4 * MAX_CALIBRATION).toPandas()
     y = got["toxic"].to_numpy(dtype=float)
     if len(y) == 0 or y.min() == y.max():
         model.fit = np.append(np.zeros(len(RUNS) + 1), 30.0 if len(y) and y[0] else -30.0)
     else:
         order = np.lexsort(np.stack([*np.stack(got["x"]).T, y]))
         model.fit = logistic(np.stack(got["x"])[order], y[order])
-    held.unpersist()
     return model
 
 
-def scored(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+def scored(df: DataFrame, model: Trained, text: str = "text", out: str = "score") -> DataFrame:
     """Add the score of each text; it replaces a column of that name."""
-    common.worker_imports(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast(model)
-    base = df.drop(out)
-    at, names = base.columns.index(text), base.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields] + [f"`{out}` double"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = np.concatenate([held.value.score(p) for p in shingles.chunks(batch.column(at))] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*names, out])
-
-    return base.mapInArrow(run, schema)
+    return mapped(df.drop(out), model, text, out, "double")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,6 +313,28 @@ def test_toxicity_held_out(spark):
     assert len(blank) == 1 and 0 <= blank.pop() < 0.5
 
 
+def test_toxicity_by_rare_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+
+    def text(toxic):
+        w = [rng.choice([f"word{i}" for i in range(50)]) for _ in range(40)]
+        for at in (5, 15, 25):
+            w[at : at + 2] = ["drown", "them"] if toxic else rng.choice([["drown", "word1"], ["them", "word2"], ["them", "drown"]])
+        return " ".join(w)
+
+    rows = [(i, text(i % 10 == 0), int(i % 10 == 0)) for i in range(240)]  # 12 toxic texts to learn from, each has the pair 3 times
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(df.where("doc_id < 120"), df.select("doc_id", "toxic").where("doc_id < 120"))
+    broadcast = {r.doc_id: r.score for r in toxicity.scored(clashing(df), model).collect()}
+    assert all((broadcast[i] >= 0.5) == bool(y) for i, _, y in rows if i >= 120)
+    monkeypatch.setattr(toxicity, "BLOCK", 30)
+    model.small = False
+    joined = {r.doc_id: r.score for r in toxicity.scored(clashing(df), model).collect()}
+    assert joined == pytest.approx(broadcast)
+
+
 def test_toxicity_query(spark, docs):
     rows = toxicity.op7_toxicity(spark, docs).collect()
     assert len(rows) == len(documents()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
