@@ -1,7 +1,8 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional models with absolute discounts.
 
 Words and pairs of words are counted in toxic and in ordinary labelled texts (all of them, by one aggregation). Each class
-has an interpolated model with absolute discounts; rare expressions fall back to counts that both classes share, with the
+has an interpolated model with absolute discounts, whose lower order has occurrences of words and not, as Kneser-Ney has,
+the different words that they follow (README.md says why); rare expressions fall back to counts that both classes share, with the
 same weight, so that what neither class knows says nothing. A word's score is the difference of its two log-likelihoods.
 A text's features are that difference, normalised by length, over the whole text and over its strongest runs of 1, 4 and
 12 words, so that an insult is not diluted by the length of the text around it. A logistic function of these features,
