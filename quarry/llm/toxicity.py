@@ -1,21 +1,29 @@
-"""Toxicity by class-conditional models with absolute discounts.
-
-Words and pairs of words are counted in toxic and in ordinary labelled texts (all of them, by one aggregation). Each class
-has an interpolated model with absolute discounts, whose lower order has occurrences of words and not, as Kneser-Ney has,
-the different words that they follow (README.md says why); rare expressions fall back to counts that both classes share, with the
-same weight, so that what neither class knows says nothing. A word's score is the difference of its two log-likelihoods.
-A text's features are that difference, normalised by length, over the whole text and over its strongest runs of 1, 4 and
-12 words, so that an insult is not diluted by the length of the text around it. A logistic function of these features,
-fitted on at most ``MAX_CALIBRATION`` labelled texts (those whose ids have the least hashes), gives the score.
-
-Words are hashed to BITS bits. The table of differences holds every word, and every pair that a class has more often
-than the discount: for any other pair the model is the fall back, so its difference is the word's, and leaving it out
-changes nothing. The table grows with the corpus. One of up to ``BROADCAST_CODES`` rows is broadcast, and texts are scored
-in one pass; a larger one is joined with the distinct words and pairs of blocks of texts. Both ways give the same scores.
+"""Toxicity by class-conditional Kneser-Ney models of words.
+
+Labelled texts are read as pairs of a word and the word before it. A word's count in a class is the number of different
+words that it follows there, as in the lower order of Kneser-Ney: a word that a copied phrase repeats counts once for it.
+Each class' probabilities are these counts less a discount; what the discount takes goes to the counts that both classes
+share, with one weight for both, so that a rare word which neither class knows well says nothing. Pairs, the highest
+order, have their occurrences less a discount of their own, and fall back to the words' probabilities with one weight for
+both classes. Differences of the two log-likelihoods score words, and pairs beyond their words.
+
+A text's features are the words' difference, normalised by length, over the whole text and over its strongest runs of 1,
+4 and 12 words, so that an insult is not diluted by the length of the text around it, and what pairs add, over the whole
+text and at the strongest pair. A logistic function of these features gives the score. It is fitted on at most
+``MAX_CALIBRATION`` labelled texts that the counts leave out: of the fifth of ids that a hash marks, those with the least
+hashes.
+
+Words are hashed to 34 bits, words before them to 28. The table of differences has every word and every pair that a class
+has more often than the discount: any other word's difference is exactly zero, any other pair's is its word's, so nothing
+is cut. It grows with the corpus. One of up to ``BROADCAST_CODES`` rows is broadcast, and texts are scored in one pass; a larger one is joined with the distinct words and
+pairs of blocks of texts. Both ways give the same scores. Texts are read whole, however long; memory holds one Arrow batch, and a
+block where there are blocks.
 
 Null and empty texts get the score of texts without words. Labels are joined by id: null ids have none, several labels
 of an id count as toxic if one is. Labels, languages, sources and ids are no inputs of scores. Without labels of both
-classes every score is the share of the one class there is (0 without any). Repeated rows are scored each for itself.
+classes every score is the share of the one class there is (0 without any); if the texts left out are of one class, the
+function is fitted on counted ones. Repeated rows are scored each for itself. An empty table gives an empty result. Other
+columns stay as they are, whatever their names, but for a column named like the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -29,90 +37,107 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common, shingles
 
-#: Bits of a word's hash, discount, lengths of runs, texts that the logistic function is fitted on.
-BITS, DISCOUNT, RUNS, MAX_CALIBRATION = 31, 4.0, (1, 4, 12), 4000
+#: Bits of a word's hash and of the one before it, discounts of words and of pairs, added to each shared count.
+BITS, BEFORE_BITS, DISCOUNT, PAIR_DISCOUNT, ADDED = 34, 28, 1.0, 4.0, 0.5
+#: Lengths of runs, texts that the logistic function is fitted on.
+RUNS, MAX_CALIBRATION = (1, 4, 12), 4000
+FEATURES = len(RUNS) + 3
 #: Tables of differences of up to this many rows (12 bytes each) are broadcast; larger ones are joined by blocks of texts.
 BROADCAST_CODES = 2_000_000
-#: Texts in a block.
-BLOCK = 500
+#: Characters of texts in a block.
+BLOCK = 8_000_000
 #: Labels up to this many rows (12 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 500_000
 
-_START = (1 << BITS) - 1
+_START = (1 << BEFORE_BITS) - 1
 _LETTERS = np.array([32 if b < 128 and not chr(b).isalnum() else b + 32 * (65 <= b <= 90) for b in range(256)], dtype=np.uint8)
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, word bucket and code of the pair with the word before, for all words of some texts."""
+    """Text number, word and code of the word with the one before it, for all words of some texts."""
     parts = [t.encode("utf-8", "surrogatepass") + b" " for t in texts]
     with np.errstate(over="ignore"):
         hashes, start = shingles.word_hashes(_LETTERS[np.frombuffer(b"".join(parts), dtype=np.uint8)])
     doc = np.searchsorted(np.cumsum([len(p) for p in parts]), start, side="right")
     word = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-    before = np.concatenate([[_START], word[:-1]])[: len(word)]
+    before = np.concatenate([[_START], word[:-1] % _START])[: len(word)]
     before[np.concatenate([[True], doc[1:] != doc[:-1]])[: len(word)]] = _START
-    return doc, word, (before << BITS) | word
+    return doc, word, (word << BEFORE_BITS) | before
 
 
 def counted(labelled: DataFrame) -> DataFrame:
-    """(code, toxic, ordinary): counts of pairs, and of words under codes of -1 - bucket, from (toxic, text)."""
+    """(code, toxic, ordinary): occurrences of each word with the one before it by class, from (toxic, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def summed(codes: list, ones: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def summed(codes: list, ones: list) -> tuple[np.ndarray, np.ndarray]:
             code, at = np.unique(np.concatenate(codes), return_inverse=True)
             both = np.concatenate(ones)
-            return code, np.bincount(at, both[:, 0], len(code)), np.bincount(at, both[:, 1], len(code))
+            return code, np.stack([np.bincount(at, both[:, 0], len(code)), np.bincount(at, both[:, 1], len(code))], 1)
 
         codes, ones, size = [], [], 0
         for batch in batches:
-            toxic = batch.column(0).to_numpy()
-            low = 0
+            mark, low = batch.column(0).to_numpy(), 0
             for part in shingles.chunks(batch.column(1)):
-                doc, word, pair = tokens(part)
-                mark = toxic[low : low + len(part)][doc].astype(float)
+                doc, _, pair = tokens(part)
+                toxic = mark[low : low + len(part)][doc] == 1
                 low += len(part)
-                code, t, o = summed([pair, -1 - word], [np.stack([mark, 1 - mark], 1)] * 2) if len(word) else (pair, mark, mark)
+                code, n = summed([pair], [np.stack([toxic, ~toxic], 1)])
                 codes.append(code)
-                ones.append(np.stack([t, o], 1))
+                ones.append(n)
                 size += len(code)
                 if size > 2_000_000:
-                    code, t, o = summed(codes, ones)
-                    codes, ones, size = [code], [np.stack([t, o], 1)], 0
+                    code, n = summed(codes, ones)
+                    codes, ones, size = [code], [n], 0
         if codes:
-            code, t, o = summed(codes, ones)
+            code, n = summed(codes, ones)
             for at in range(0, len(code), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(code[part]), pa.array(t[part].astype(np.int64)), pa.array(o[part].astype(np.int64))], names=["code", "toxic", "ordinary"])
+                part = n[at : at + 100_000].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(code[at : at + 100_000]), pa.array(part[:, 0]), pa.array(part[:, 1])], names=["code", "toxic", "ordinary"])
 
     each = labelled.mapInArrow(run, "code bigint, toxic bigint, ordinary bigint")
     return each.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def lower_order(counts: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary): the counts that the models of single words are made from."""
-    return counts.where("code < 0").select((-1 - F.col("code")).alias("word"), F.col("toxic").cast("double"), F.col("ordinary").cast("double"))
+    """(word, toxic, ordinary, shared): the different words before each word, by class and in all."""
+    some = lambda c: F.count(F.when(F.col(c) > 0, 1)).alias(c)
+    return counts.groupBy(F.shiftright("code", BEFORE_BITS).alias("word")).agg(some("toxic"), some("ordinary"), F.count(F.lit(1)).alias("shared"))
+
+
+def kept(c: str, discount: float) -> Column:
+    return F.greatest(F.col(c) - discount, F.lit(0.0))
+
+
+def of_words(words: DataFrame) -> DataFrame:
+    """(word, p_toxic, p_ordinary) of all words of :func:`lower_order`. They and one unseen word's sum to 1 in each class."""
+    k = lambda c: kept(c, DISCOUNT)
+    t, o, kt, ko, n, size = (float(x or 0) for x in words.agg(*[F.sum(x) for x in ("toxic", "ordinary", k("toxic"), k("ordinary"), "shared")], F.count(F.lit(1))).first())
+    weight = 1 - min(kt / t, ko / o) if kt and ko else 1.0
+    shared = weight * (F.col("shared") + ADDED) / F.lit(n + ADDED * (size + 1))
+    p = lambda c, total: (1 - weight) * k(c) / F.lit(max(total, 1.0)) + shared
+    return words.select("word", p("toxic", kt).alias("p_toxic"), p("ordinary", ko).alias("p_ordinary"), ((F.col("toxic") > DISCOUNT) | (F.col("ordinary") > DISCOUNT)).alias("tells"))
+
+
+def of_pairs(counts: DataFrame, words: DataFrame) -> DataFrame:
+    """(code, q_toxic, q_ordinary) of the pairs that a class has more often than the discount, from :func:`of_words`."""
+    k = lambda c: kept(c, PAIR_DISCOUNT)
+    before = F.col("code").bitwiseAND(F.lit(_START))
+    share = lambda c: F.sum(k(c)) / F.greatest(F.sum(c), F.lit(1))
+    weight = 1 - F.least(share("toxic"), share("ordinary"))  # of the words, one for both classes
+    contexts = counts.groupBy(before.alias("before")).agg(weight.alias("weight"), F.sum(k("toxic")).alias("kt"), F.sum(k("ordinary")).alias("ko")).where("weight < 1")
+    strong = counts.where((F.col("toxic") > PAIR_DISCOUNT) | (F.col("ordinary") > PAIR_DISCOUNT)).select("code", before.alias("before"), F.shiftright("code", BEFORE_BITS).alias("word"), "toxic", "ordinary")
+    joined = strong.join(contexts.hint("merge"), "before").join(words.hint("merge"), "word")
+    q = lambda c, total, p: (1 - F.col("weight")) * k(c) / F.greatest(F.col(total), F.lit(1.0)) + F.col("weight") * F.col(p)
+    return joined.select("code", q("toxic", "kt", "p_toxic").alias("q_toxic"), q("ordinary", "ko", "p_ordinary").alias("q_ordinary"))
 
 
 def differences(counts: DataFrame) -> DataFrame:
-    """(code, gap): log-likelihood differences of all words and of the pairs that differ from their word's."""
-    kept = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
-    words = common.written(lower_order(counts), "words")
-    t, o, kt, ko, n = (float(x or 0) for x in words.agg(F.sum("toxic"), F.sum("ordinary"), F.sum(kept("toxic")), F.sum(kept("ordinary")), F.count(F.lit(1))).first())
-    back = 1 - min(kt / t, ko / o) if t > 0 and o > 0 else 1.0
-    shared = (F.col("toxic") + F.col("ordinary") + 0.1) / (t + o + 0.1 * n + 0.1)
-    p = lambda c, k: (1 - back) * kept(c) / max(k, 1.0) + back * shared
-    single = common.written(words.select("word", p("toxic", kt).alias("pt"), p("ordinary", ko).alias("po")), "single")
-    pairs = counts.where("code >= 0").select("code", F.shiftright("code", BITS).alias("before"), F.col("code").bitwiseAND(F.lit(_START)).alias("word"), "toxic", "ordinary")
-    share = lambda c: F.sum(kept(c)) / F.greatest(F.sum(c), F.lit(1))
-    weight = F.greatest(F.least(1 - F.least(share("toxic"), share("ordinary")), F.lit(1.0)), F.lit(0.2))  # of the fall back, one for both classes
-    contexts = common.written(pairs.groupBy("before").agg(weight.alias("weight"), F.sum(kept("toxic")).alias("kt"), F.sum(kept("ordinary")).alias("ko")), "contexts")
-    strong = pairs.where((F.col("toxic") > DISCOUNT) | (F.col("ordinary") > DISCOUNT))
-    joined = common.bounded_join(common.bounded_join(strong, contexts, ["before"]), single, ["word"])
-    q = lambda c, k, w: (1 - F.col("weight")) * kept(c) / F.greatest(F.col(k), F.lit(1.0)) + F.col("weight") * F.col(w)
-    of_pairs = joined.select("code", (F.log(q("toxic", "kt", "pt")) - F.log(q("ordinary", "ko", "po"))).cast("float").alias("gap"))
-    of_words = single.select((-1 - F.col("word")).alias("code"), (F.log("pt") - F.log("po")).cast("float").alias("gap"))
-    out = common.written(of_words.unionAll(of_pairs), "differences")
-    common.release(words, single, contexts)
+    """(code, gap): log-likelihood differences of pairs, and of words under codes of -1 - word, written."""
+    words = common.written(of_words(common.written(lower_order(counts), "words")), "single")
+    pairs = of_pairs(counts, words).select("code", (F.log("q_toxic") - F.log("q_ordinary")).cast("float").alias("gap"))
+    single = words.where("tells").select((-1 - F.col("word")).alias("code"), (F.log("p_toxic") - F.log("p_ordinary")).cast("float").alias("gap"))
+    out = common.written(single.unionAll(pairs), "differences")
+    common.release(words)
     return out
 
 
@@ -123,29 +148,26 @@ class Model:
         order = np.argsort(codes)
         self.codes, self.gaps, self.fit = codes[order], gaps[order], fit
 
-    def looked_up(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def found(self, code: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
         if not len(self.codes):
-            return np.zeros(len(code)), np.zeros(len(code), dtype=bool)
+            return otherwise
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        hit = self.codes[at] == code
-        return np.where(hit, self.gaps[at], 0.0).astype(float), hit
-
-    def differences(self, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """The pair's difference, else the word's, else none."""
-        gap, hit = self.looked_up(pair)
-        return np.where(hit, gap, self.looked_up(-1 - word)[0])
+        return np.where(self.codes[at] == code, self.gaps[at], otherwise)
 
     def features(self, texts: list[str]) -> np.ndarray:
         doc, word, pair = tokens(texts)
         n = np.bincount(doc, minlength=len(texts))
-        out = np.zeros((len(texts), len(RUNS) + 1))
+        out = np.zeros((len(texts), FEATURES))
         if len(word):
-            gap = self.differences(word, pair)
+            gap = self.found(-1 - word, np.zeros(len(word)))
+            more = self.found(pair, gap) - gap
             some, start = n > 0, np.concatenate([[0], np.cumsum(n)[:-1]])
-            out[:, -1] = np.bincount(doc, gap, minlength=len(texts)) / np.maximum(n, 1)
+            for k, x in ((0, gap), (1, more)):
+                out[:, k] = np.bincount(doc, x, minlength=len(texts)) / np.maximum(n, 1)
+            out[some, 2] = np.maximum.reduceat(more, start[some])
             run = np.concatenate([[0.0], np.cumsum(gap)])
             at = np.arange(len(gap))
-            for k, width in enumerate(RUNS):
+            for k, width in enumerate(RUNS, 3):
                 value = (run[np.minimum(at + width, (start + n)[doc])] - run[at]) / width
                 out[some, k] = np.maximum.reduceat(value, start[some])
         return out
@@ -174,7 +196,7 @@ class Trained:
     """The table of differences, and the weights and intercept of the features."""
 
     def __init__(self, table: DataFrame):
-        self.table, self.fit = table, np.zeros(len(RUNS) + 2)
+        self.table, self.fit = table, np.zeros(FEATURES + 1)
         self.small = table.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES
 
 
@@ -187,11 +209,11 @@ def mapped(df: DataFrame, model: Trained, text: str, out: str, kind: str) -> Dat
     def values(m: Model, texts: pa.Array) -> pa.Array:
         if kind == "double":
             return pa.array(np.concatenate([m.score(p) for p in shingles.chunks(texts)] or [np.zeros(0)]))
-        return pa.array(list(np.concatenate([m.features(p) for p in shingles.chunks(texts)] or [np.zeros((0, len(RUNS) + 1))])), pa.list_(pa.float64()))
+        return pa.array(list(np.concatenate([m.features(p) for p in shingles.chunks(texts)] or [np.zeros((0, FEATURES))])), pa.list_(pa.float64()))
 
     if model.small:
-        got = model.table.toPandas()  # at most BROADCAST_CODES rows
-        held = df.sparkSession.sparkContext.broadcast(Model(got["code"].to_numpy(dtype=np.int64), got["gap"].to_numpy(dtype=np.float32), fit))
+        got = model.table.toArrow()  # at most BROADCAST_CODES rows
+        held = df.sparkSession.sparkContext.broadcast(Model(got["code"].to_numpy(), got["gap"].to_numpy(), fit))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -201,10 +223,10 @@ def mapped(df: DataFrame, model: Trained, text: str, out: str, kind: str) -> Dat
 
     block, b = common.fresh(df, "_block", "_b")
     rows = [F.col(f"`{c}`") for c in names if df.schema[c].dataType.typeName() != "map"]
-    blocks = df.count() // BLOCK + 1
+    blocks = (df.agg(F.sum(F.length(F.col(f"`{text}`").cast("string")))).first()[0] or 0) // BLOCK + 1
     table = common.written(df.withColumn(block, F.pmod(F.xxhash64(*rows), F.lit(blocks))).repartition(block).sortWithinPartitions(block), "blocks")
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low, number = 0, batch.column(0).to_numpy()
             for part in shingles.chunks(batch.column(1)):
@@ -212,14 +234,14 @@ def mapped(df: DataFrame, model: Trained, text: str, out: str, kind: str) -> Dat
                 of = number[low : low + len(part)][doc]
                 low += len(part)
                 for k in np.unique(of):
-                    code = np.unique(np.concatenate([pair[of == k], -1 - word[of == k]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k)), pa.array(code)], names=[b, "code"])
+                    some = np.unique(np.concatenate([pair[of == k], -1 - word[of == k]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(some)], names=[b, "code"])
 
-    asked = table.select(block, F.col(text).cast("string").alias("text")).mapInArrow(grams, f"{b} bigint, code bigint").distinct()
+    asked = table.select(block, F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(distinct_codes, f"{b} bigint, code bigint").distinct()
     found = common.salted_join(asked, model.table, ["code"]).where("gap is not null")
 
     def scored_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = Model(right["code"].to_numpy().astype(np.int64), right["gap"].to_numpy().astype(np.float32), fit)
+        m = Model(right["code"].to_numpy(), right["gap"].to_numpy(), fit)
         left = left.select(names).combine_chunks()
         texts = left.column(at).combine_chunks() if left.num_rows else pa.array([], pa.string())
         return left.append_column(out, values(m, texts))
@@ -227,27 +249,37 @@ def mapped(df: DataFrame, model: Trained, text: str, out: str, kind: str) -> Dat
     return table.groupBy(block).cogroup(found.groupBy(b)).applyInArrow(scored_block, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Trained:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_calibration: int = MAX_CALIBRATION) -> Trained:
     """A model from all labelled texts of ``labels`` (doc_id, toxic)."""
     common.worker_imports(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = common.written(known, "labels")
+    mark = F.xxhash64(F.lit("calibration"), "l_id")
+    known = common.written(known.withColumn("mark", mark), "labels")
     few = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(known) if few else known, F.col("id") == F.col("l_id"))
-    counts = common.written(counted(rows.select(F.col("toxic").cast("bigint"), "text")), "counts")
+    apart = known.where(F.pmod("mark", F.lit(5)) == 0).orderBy("mark", "l_id").limit(max_calibration)
+    apart = common.written(apart.select("l_id", F.lit(True).alias("apart")), "calibration")  # at most max_calibration rows
+    marked = known.join(F.broadcast(apart), "l_id", "left").select("l_id", "toxic", "mark", F.coalesce("apart", F.lit(False)).alias("apart"))
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = lambda side: texts.join(F.broadcast(side) if few else side, F.col("id") == F.col("l_id"))
 
+    counts = common.written(counted(rows(marked.where(~F.col("apart"))).select(F.col("toxic").cast("bigint"), "text")), "counts")
     model = Trained(differences(counts))
     common.release(counts)
 
-    chosen = known.orderBy(F.xxhash64("l_id"), "l_id").limit(MAX_CALIBRATION)
-    sample = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("l_id"))
-    got = mapped(sample.select("toxic", "text"), model, "text", "x", "array<double>").select("toxic", "x").limit(4 * MAX_CALIBRATION).toPandas()
-    y = got["toxic"].to_numpy(dtype=float)
+    def sample(side: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        few_rows = texts.join(F.broadcast(side.select("l_id", "toxic")), F.col("id") == F.col("l_id")).orderBy(F.xxhash64("id", "text"), "id", "text").limit(max_calibration)
+        got = mapped(few_rows.select("toxic", "text"), model, "text", "x", "array<double>").select("toxic", "x").toArrow()
+        x, y = np.array(got["x"].to_pylist(), dtype=float).reshape(got.num_rows, FEATURES), got["toxic"].to_numpy().astype(float)
+        order = np.lexsort(np.column_stack([x, y]).T) if len(y) else slice(None)
+        return x[order], y[order]
+
+    x, y = sample(marked.where("apart"))
+    if len(y) == 0 or y.min() == y.max():
+        x, y = sample(marked.orderBy("mark", "l_id").limit(max_calibration))
     if len(y) == 0 or y.min() == y.max():
-        model.fit = np.append(np.zeros(len(RUNS) + 1), 30.0 if len(y) and y[0] else -30.0)
+        model.fit = np.append(np.zeros(FEATURES), 30.0 if len(y) and y[0] else -30.0)
     else:
-        order = np.lexsort(np.stack([*np.stack(got["x"]).T, y]))
-        model.fit = logistic(np.stack(got["x"])[order], y[order])
+        model.fit = logistic(x, y)
     return model
 
 

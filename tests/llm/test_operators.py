@@ -335,6 +335,25 @@ def test_toxicity_by_rare_pairs(spark, monkeypatch):
     assert joined == pytest.approx(broadcast)
 
 
+def test_toxicity_counts_and_probabilities(spark):
+    """Continuation counts, discounts and the shared back-off by definition; a class' probabilities sum to 1."""
+    texts = [("a b a b c", 1), ("a b d b b", 1), ("c b a e a b", 0), ("e e a b c b", 0), ("", 0), (None, 1)]
+    counts = toxicity.counted(spark.createDataFrame([(y, t) for t, y in texts], "toxic bigint, text string"))
+    words = [(("" if i == 0 else t.split()[i - 1]), w, y) for t, y in texts for i, w in enumerate((t or "").split())]
+    seen = Counter((v, w, y) for v, w, y in words)
+    pairs = {(v, w) for v, w, _ in words}
+    assert sorted((r.toxic, r.ordinary) for r in counts.collect()) == sorted((seen[v, w, 1], seen[v, w, 0]) for v, w in pairs)
+    low = toxicity.lower_order(counts)
+    follows = lambda w, *ys: len({v for v, x, y in seen if x == w and y in ys})
+    assert sorted((r.toxic, r.ordinary, r.shared) for r in low.collect()) == sorted((follows(w, 1), follows(w, 0), follows(w, 0, 1)) for w in {w for _, w in pairs})
+    p = toxicity.of_words(low).collect()
+    total = {y: sum(follows(w, y) for w in {w for _, w in pairs}) for y in (0, 1)}
+    left = {y: sum(max(follows(w, y) - toxicity.DISCOUNT, 0) for w in {w for _, w in pairs}) for y in (0, 1)}
+    weight = 1 - min(left[y] / total[y] for y in (0, 1))
+    unseen = weight * toxicity.ADDED / (len(pairs) + toxicity.ADDED * (len(p) + 1))
+    assert sum(r.p_toxic for r in p) + unseen == pytest.approx(1) and sum(r.p_ordinary for r in p) + unseen == pytest.approx(1)
+
+
 def test_toxicity_query(spark, docs):
     rows = toxicity.op7_toxicity(spark, docs).collect()
     assert len(rows) == len(documents()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
