@@ -59,6 +59,37 @@ def test_pii_contexts_find_more(spark):
     assert got[101] == [] and len(got[0]) == 1
 
 
+def test_pii_instances_induce_patterns(spark):
+    """Seeds induce the name that they are assigned to; values of that name become instances and induce what precedes them."""
+    rows = [(i, f'x{i} token="{i:040x}" y') for i in range(10, 40)] + [(100 + i, f"kk{i} my login is token=zebra{i:02d}fish; k") for i in range(8)] + [(200, "now my login is tiger77horse ok"), (201, "v. 77a")]
+    got = {r.doc_id: r.spans for r in pii.extract(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = lambda i, v: [(pii.SECRET, t.index(v), t.index(v) + len(v)) for j, t in rows if j == i]
+    assert [tuple(x) for x in got[100]] == at(100, "zebra00fish") and [tuple(x) for x in got[10]] == at(10, f"{10:040x}")
+    assert [tuple(x) for x in got[200]] == at(200, "tiger77horse") and got[201] == []
+
+
+def test_pii_many_matches(spark):
+    """Work must not grow with the square of a text's matches."""
+    import time
+
+    text = " ".join(f"u{i}@h{i}.org 10.0.{i % 256}.{i % 200}" for i in range(30000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.time()
+    (row,) = pii.extract(df, keep_text=False).collect()
+    assert [f"{pii.KINDS[x.kind]}:{x.s}:{x.e}" for x in row.base] == base_spans(text) and time.time() - began < 30
+
+
+def test_pii_query(spark, docs):
+    import hashlib
+
+    rows = pii.op1_pii(spark, docs).collect()
+    want = Counter()
+    for d, t, *_ in documents():
+        spans = base_spans(t or "")
+        want[(d, *[sum(x.startswith(k) for x in spans) for k in pii.KINDS[:4]], hashlib.sha256(",".join(spans).encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows) == want
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 
 
