@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words, as a regular-expression class body.
@@ -142,6 +142,20 @@ def bounded_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return left.join(F.broadcast(small), same, "left").drop(*names)
 
 
+def numbered(df: DataFrame, out: str, *order: Column) -> DataFrame:
+    """Add 0, 1, 2, ... in the given order, without bringing the rows into one task.
+
+    Rows are dealt out by ranges and written; what is summed over all partitions is one count for each of them.
+    """
+    place, part, before = fresh(df, "_place", "_part", "_before")
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id()), "numbered")
+    held = F.shiftright(place, 33).alias(part)
+    counts = rows.groupBy(held).agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))  # a row for each partition
+    joined = rows.join(F.broadcast(starts), F.shiftright(place, 33) == F.col(part))
+    return joined.withColumn(out, F.col(before) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop(place, part, before)
+
+
 #: Bits of the bitmap of :func:`marked`: at most 512 rows of 4 kB.
 MARK_BITS = 1 << 24
 

@@ -3,17 +3,23 @@
 Every source's documents, in an order that depends on their ids alone, form one stream of words that is packed into
 blocks of ``block`` words; the stream's rest is a short last block. Targets share out the mix by weight and stop at
 ``most`` times a source's size. A source's target is a number of slots: whole passes over its blocks, then part of one
-more pass. Each pass maps slots to blocks by a pseudorandom permutation of its own, the short block last, and the last
-slot is cut where the target is reached, so that a source gives its target to the word. A hash deals each slot to an
-output shard, which draws the shards' source counts from a multinomial distribution that keeps every source's total.
-Slots meet the documents' pieces by joining on source and block index, so a hot source is spread over its blocks.
+more pass. How many slots of each source an output shard takes is drawn from a multinomial distribution (over the shards
+for each source, so that the draws keep every source's total); shards take their slots in the order of the source's
+slots. Each pass maps its slots to blocks by a pseudorandom permutation of its own, the short block last, and the last
+slot is cut where the target is reached, so that a source gives its target to the word. Slots meet the documents' pieces
+by joining on source and block index, so a hot source is spread over its blocks.
 
 Null sources form one source, ordered last; null and empty texts have size 0 and are not taken. Documents that share an
-id are ordered by size; identical rows are interchangeable. Empty tables give empty results.
+id are ordered by size; identical rows are interchangeable. Empty tables give empty results. Texts are read whole, and
+a long one is as many pieces as it has blocks. Other columns may have any names; the results have their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +28,7 @@ from quarry.llm import common
 from quarry.llm.common import SPACE
 
 #: Words in a block, slots in an output shard on average, documents in a bucket whose prefix sums one task computes.
-BLOCK, SHARD_SLOTS, BUCKET_DOCS = 256, 4096, 4000
+BLOCK, SHARD_SLOTS, BUCKET_DOCS = 256, 4096, 20_000
 #: Multipliers of the permutations; one that does not divide the number of blocks is coprime to it.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 
@@ -37,9 +43,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     Weights repeat over the sources in code-point order. What a source's cap leaves is shared out again by weight until
     no target is above its cap; that is the largest common level at which no cap is exceeded, found in a few sums.
     """
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1  # one row for each source
+    sizes, rank = common.numbered(sizes, "rank", F.col("source").asc_nulls_last()), F.col("rank")
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
-    table = common.written(sizes.withColumn("weight", pick).withColumn("cap", most * F.col("source_size")), "sources")
+    table = common.written(sizes.withColumn("weight", pick).drop("rank").withColumn("cap", most * F.col("source_size")), "sources")
     total = (table.agg(F.sum("source_size")).first()[0] or 0) * share
     level, capped = 0.0, -1
     while total:
@@ -78,8 +84,30 @@ def permuted(i: Column, n: Column, key: Column) -> Column:
     return F.pmod(wide(F.pmod(p, n)) * wide(i) + wide(F.pmod(F.shiftright(key, 8), n)), wide(n)).cast("bigint")
 
 
+def shard_counts(plan: DataFrame, shards: int, seed: int = 0) -> DataFrame:
+    """(source, shard, first, n): how many slots of each source each shard draws, and the first one's number.
+
+    A source's counts over the shards are multinomial, every shard as likely as another; shards that draw none have no row.
+    """
+    common.worker_imports(plan.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (key, n) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                drawn = np.random.default_rng([seed, key & 0xFFFFFFFFFFFFFFFF]).multinomial(n, np.full(shards, 1 / shards))
+                first = np.cumsum(drawn) - drawn
+                (some,) = np.nonzero(drawn)
+                for at in range(0, len(some), 100_000):
+                    part = some[at : at + 100_000]
+                    source = pa.repeat(batch.column(0)[k], len(part)) if batch.column(0)[k].is_valid else pa.nulls(len(part), batch.column(0).type)
+                    yield pa.RecordBatch.from_arrays([source, pa.array(part.astype(np.int64)), pa.array(first[part]), pa.array(drawn[part])], names=["source", "shard", "first", "n"])
+
+    rows = plan.select("source", F.xxhash64(F.lit("shards"), "source").alias("key"), "n_slots")
+    return rows.mapInArrow(run, f"source {plan.schema['source'].dataType.simpleString()}, shard bigint, first bigint, n bigint")
+
+
 def slots(by_source: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
-    """One row for each slot of the mix: source, slot, shard, index of its block, and how many words it takes."""
+    """One row for each slot of the mix: source, slot, pass, shard, index of its block, and how many words it takes."""
     size, goal = F.col("source_size"), F.round(F.col("target")).cast("bigint")
     plan = by_source.where((size > 0) & (goal > 0)).select(
         "source", "source_size",
@@ -89,37 +117,34 @@ def slots(by_source: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLO
         (F.expr(f"source_size div {block}") + F.when(size % block > 0, 1).otherwise(0)).alias("n_blocks"),
     )
     plan = plan.withColumn("passes", F.expr("goal div source_size")).withColumn("left", F.expr("goal % source_size"))
-    plan = plan.withColumn("n_slots", F.col("passes") * F.col("n_blocks") + F.ceil(F.col("left") / block))
-    n_shards = F.greatest(F.ceil(F.sum("n_slots").over(W.partitionBy()) / shard_slots), F.lit(1))  # over one row a source
-    chunk = 4096
-    chunks = plan.withColumn("n_shards", n_shards).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_slots - 1) div {chunk}"))))
-    chunks = chunks.repartition("source", "chunk")
-    each = chunks.withColumn("slot", F.explode(F.sequence(F.col("chunk") * chunk, F.least(F.col("chunk") * chunk + (chunk - 1), F.col("n_slots") - 1))))
+    plan = common.written(plan.withColumn("n_slots", F.col("passes") * F.col("n_blocks") + F.ceil(F.col("left") / block)), "plan")
+    shards = -(-(plan.agg(F.sum("n_slots")).first()[0] or 0) // shard_slots) or 1
+    counts = common.written(shard_counts(plan, shards, seed), "shards")  # a row for each source and shard
+    dealt = counts.repartition(_tasks(counts, shards), "source", "shard")
+    each = dealt.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))).drop("first", "n")
+    each = common.bounded_join(each, plan, ["source"])
     one_pass = each.withColumn("pass", F.expr("slot div n_blocks")).withColumn("i", F.expr("slot % n_blocks"))
     key = F.xxhash64(F.lit(seed), F.col("source"), F.col("pass"))
     index = F.when(F.col("i") < F.col("whole"), permuted(F.col("i"), F.greatest(F.col("whole"), F.lit(1)), key)).otherwise(F.col("whole"))
     length = F.when(F.col("i") < F.col("whole"), F.lit(block).cast("bigint")).otherwise(F.col("rest"))
     room = F.when(F.col("pass") < F.col("passes"), length).otherwise(F.least(length, F.col("left") - F.col("i") * block))
-    shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), F.col("source"), F.col("slot")), F.col("n_shards"))
-    return one_pass.select("source", "slot", shard.alias("shard"), index.alias("index"), room.alias("words"), length.alias("length"))
+    return one_pass.select("source", "slot", "pass", "shard", index.alias("index"), room.alias("words"))
 
 
-def shard_counts(slot_rows: DataFrame) -> DataFrame:
-    """Slots of each source in each output shard."""
-    return slot_rows.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("n_slots"), F.sum("words").alias("n_words"))
+def _tasks(df: DataFrame, shards: int) -> int:
+    """As many tasks as the session has for shuffles, or one for 16 shards if these are more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shards // 16, 100_000))
 
 
 def pieces(placed: DataFrame, slot_rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Parts of documents that blocks of the mix take: uid, first and end word, and how many times over."""
+    """Parts of documents that slots of the mix take: uid, pass and shard of the slot, first and end word."""
     end = F.col("at") + F.col("size") - 1
     parts = placed.where("size > 0").select("uid", "source", "at", "size", F.explode(F.sequence(F.expr(f"at div {block}"), F.floor(end / block))).alias("index"))
     first = F.greatest(F.col("at"), F.col("index") * block)
     last = F.least(F.col("at") + F.col("size"), (F.col("index") + 1) * block)
-    parts = parts.select("uid", F.col("source").alias("s_"), F.col("index").alias("i_"), (first - F.col("at")).alias("a"), (last - F.col("at")).alias("b"), (first - F.col("index") * block).alias("in_block"))
-    took = slot_rows.groupBy("source", "index").agg(F.count(F.when(F.col("words") == F.col("length"), 1)).alias("times"), F.sum(F.when(F.col("words") < F.col("length"), F.col("words")).otherwise(0)).alias("cut"))
-    return parts.join(took, F.col("s_").eqNullSafe(F.col("source")) & (F.col("i_") == F.col("index"))).select(
-        "uid", "a", "b", "times", F.least(F.col("b"), F.col("a") + F.greatest(F.col("cut") - F.col("in_block"), F.lit(0))).alias("cut")
-    )
+    parts = parts.select("uid", F.col("source").alias("s_"), F.col("index").alias("i_"), (first - F.col("at")).alias("a"), (last - F.col("at")).alias("end"), (first - F.col("index") * block).alias("in_block"))
+    joined = parts.hint("merge").join(slot_rows, F.col("s_").eqNullSafe(F.col("source")) & (F.col("i_") == F.col("index")))
+    return joined.select("uid", "pass", "shard", "a", F.least(F.col("end"), F.col("a") + F.col("words") - F.col("in_block")).alias("b")).where("b > a")
 
 
 def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", block: int = BLOCK, seed: int = 0, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -137,25 +162,25 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, taken, _ = mix(common.documents(spark, sf_dir).select("doc_id", "source", "text"))
-    sums = taken.groupBy(F.col("uid").alias("u_")).agg(F.sum(F.col("times") * (F.col("b") - F.col("a")) + F.col("cut") - F.col("a")).alias("t"))
+    sums = taken.groupBy(F.col("uid").alias("u_")).agg(F.sum(F.col("b") - F.col("a")).alias("t"), F.min_by("shard", F.struct("pass", "a")).alias("shard"))
     out = docs.join(sums, F.col("uid") == F.col("u_"), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("t", F.lit(0)).cast("bigint").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("t", F.lit(0)).cast("bigint").alias("taken"), "shard")
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """The mix as documents: a row for each time over that words of a document are taken, with those words as text.
+def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0, shard: str | None = None) -> DataFrame:
+    """The mix as documents: a row for each pass that takes words of a document, with those words as text.
 
     A copy that takes all words has the whole text; others have their words with the white space after each. ``n_chars``,
-    where there is such a column, is that of the new text.
+    where there is such a column, is that of the new text. ``shard`` names a column to add: the output shard that takes
+    the copy's first words.
     """
     rows, taken, _ = mix(docs, block=block, seed=seed, keep=True)
-    span = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    spans = taken.select("uid", F.explode(F.concat(F.transform(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("times")), lambda k: k > 0), lambda k: F.struct(k.alias("k"), span("a", "b").alias("s"))), F.array(F.struct((F.col("times") + 1).alias("k"), span("a", "cut").alias("s"))))).alias("x"))
-    spans = spans.where("x.s.b > x.s.a").groupBy(F.col("uid").alias("u_"), F.col("x.k").alias("copy")).agg(F.array_sort(F.collect_list("x.s")).alias("spans"))
+    spans = taken.groupBy(F.col("uid").alias("u_"), F.col("pass").alias("copy")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"), F.min_by("shard", "a").alias("shard"))
     joined = rows.join(spans, F.col("uid") == F.col("u_"))
     words = F.split(F.regexp_replace(F.col("row.text"), f"^[{SPACE}]+", ""), f"(?<=[{SPACE}])(?=[^{SPACE}])")
     n = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["b"] - s["a"])
     cut = common.let(words, lambda w: F.array_join(F.flatten(F.transform(F.col("spans"), lambda s: F.slice(w, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))), ""))
     text = F.when(n == F.col("size"), F.col("row.text")).otherwise(cut)
-    out = joined.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    kept = [(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != shard]
+    out = joined.select(*kept, *([F.col("shard").alias(shard)] if shard else []))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -307,8 +307,27 @@ def test_mixed_documents_hold_the_words_taken(spark, docs):
     want = Counter()
     ids = {r.uid: r.doc_id for r in rows.select("uid", "doc_id").collect()}
     for r in taken.collect():
-        want[ids[r.uid]] += r.times * (r.b - r.a) + r.cut - r.a
+        want[ids[r.uid]] += r.b - r.a
     assert got == +want
+    dealt = mixing.mixed_documents(df, shard="shard")
+    assert dealt.columns == [*df.columns, "shard"] and dealt.where("shard is null").count() == 0
+
+
+def test_shards_draw_multinomial_counts(spark):
+    """Each source's slots are dealt to the shards to the last one, by counts that vary as multinomial ones do."""
+    import numpy as np
+
+    plan = [("a", 256 * 40_000, 256 * 60_000.0), (None, 256 * 10_000 + 7, 256 * 5_000.0), ("c", 0, 0.0)]
+    rows = mixing.slots(spark.createDataFrame(plan, "source string, source_size bigint, target double"), shard_slots=500).collect()
+    assert Counter(r.source for r in rows) == {"a": 60_000, None: 5_000}
+    assert {s: sum(r.words for r in rows if r.source == s) for s in ("a", None)} == {"a": 256 * 60_000, None: 256 * 5_000}
+    for source, n in (("a", 60_000), (None, 5_000)):
+        mine = sorted((r.slot, r.shard) for r in rows if r.source == source)
+        assert [s for s, _ in mine] == list(range(n)) and [k for _, k in mine] == sorted(k for _, k in mine)
+        drawn = np.bincount([k for _, k in mine], minlength=130)
+        assert len(drawn) == 130 and 0.6 < drawn.var() / (n / 130 * (1 - 1 / 130)) < 1.6
+    once = [r["index"] for r in rows if r["source"] == "a" and r["pass"] == 0]
+    assert sorted(once) == list(range(40_000)) and once != sorted(once)
 
 
 def test_permutations_are_bijections(spark):
