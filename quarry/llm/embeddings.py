@@ -5,15 +5,18 @@ window around the other. For a pair at the least cosine the difference of projec
 probability of a collision, and from the binomial distribution the number of collisions that such pairs reach with the
 recall asked for. Pairs that reach it are verified by their cosine in double precision.
 
-Equal vectors of a label are one class. Classes are sorted by label and first projection and cut into blocks; two blocks
-are compared unless their ranges lie further apart than any pair's should (a chance of 1e-5), or are apart in more
-projections than the count allows. A task holds two blocks at a time and returns, for each vector, how many vectors it
-links with there and the smallest vector that links reach there, but no pairs, so a group of near copies costs rows in
-proportion to its size. Comparisons grow with the square of a label's size over the share of blocks that are apart.
+Equal vectors of a label are one class. Classes are sorted by label and by the slabs that they lie in along one projection
+after the other, and cut into blocks, so a block is narrow in as many projections as its label has rows for. Blocks meet
+by the slabs of the first projection; two of them are compared unless their ranges lie further apart, in any projection,
+than any pair's should (a chance of 1e-5), or are apart in more projections than the count allows. Within a pair of
+blocks each projection is sorted, and the window around each query there gives the collisions of its pairs. A task holds
+two blocks at a time and returns, for each vector, how many vectors it links with there and the smallest vector that links
+reach there, but no pairs, so a group of near copies costs rows in proportion to its size.
 
 Vectors that are null, zero or hold null or non-finite components, and rows with null labels, link with nothing; they
 are their own component. Vectors of different lengths do not link. Rows with one id are each counted, and share the
-component of the smallest; null ids name no component.
+component of the smallest; null ids name no component. An empty table gives an empty result. Vectors may be long: a block
+of 1000 is held twice. Other columns may have any names, as only the three that are named are read.
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ from quarry.llm.components import connected
 
 #: Least cosine, number of projections, half a window in standard deviations, share of pairs that the count may miss.
 COSINE, PROJECTIONS, WINDOW, MISS = 0.98, 24, 2.0, 1e-5
-#: Rows in a block; half width, in standard deviations, of the range that blocks are compared over.
-BLOCK, REACH = 1000, 4.5
+#: Rows in a block; half width, in standard deviations of a pair's difference, of the range that blocks are compared over;
+#: width of slabs, in those of the projections of unit vectors; projections that the order of rows is made from.
+BLOCK, REACH, SLAB, ORDERED = 1000, 5.0, 0.5, 8
 
 
 def needed_collisions(projections: int = PROJECTIONS, window: float = WINDOW, miss: float = MISS) -> int:
@@ -78,9 +82,15 @@ def projected(classes: DataFrame) -> DataFrame:
 def _linked(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, need: int, cosine: float) -> np.ndarray:
     """Which rows of x and y are similar enough: first enough collisions, then the cosine."""
     width = WINDOW * spread(x.shape[1], cosine)
-    hits = np.zeros((len(x), len(y)), dtype=np.uint8)
+    hits = np.zeros((len(x), len(y)), dtype=np.int8)
+    row = np.arange(len(x))
     for j in range(px.shape[1]):
-        hits += np.abs(px[:, j][:, None] - py[:, j][None, :]) <= width
+        order = np.argsort(py[:, j], kind="stable")
+        line = py[order, j]
+        edges = np.zeros((len(x), len(y) + 1), dtype=np.int8)  # 1 where a query's window begins, -1 where it ends
+        edges[row, np.searchsorted(line, px[:, j] - width, side="left")] += 1
+        edges[row, np.searchsorted(line, px[:, j] + width, side="right")] -= 1
+        hits[:, order] += np.cumsum(edges[:, :-1], axis=1, dtype=np.int8)
     passed = hits >= need
     if passed.mean() > 0.02:
         return passed & (x @ y.T >= cosine)
@@ -131,19 +141,23 @@ def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 def partial_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(id, links, least): for the classes of each pair of blocks what they link with there."""
     need = needed_collisions()
-    ordered = vectors.repartitionByRange("label", "dim", F.get("p", F.lit(0)), "id").sortWithinPartitions("label", "dim", F.get("p", F.lit(0)), "id")
+    slab = lambda p, dim: F.floor(p * F.sqrt(dim) / SLAB).cast("int")  # noqa: E731 - unit vectors' projections have a deviation of 1/sqrt(dim)
+    order = ["label", "dim", *[slab(F.get("p", F.lit(j)), F.col("dim")) for j in range(ORDERED)], F.get("p", F.lit(ORDERED)), "id"]
+    ordered = vectors.repartitionByRange(*order).sortWithinPartitions(*order)
     blocked = common.written(ordered.withColumn("block", F.expr(f"monotonically_increasing_id() div {BLOCK}")), "vectors")
-    ranges = F.transform(F.sequence(F.lit(0), F.lit(PROJECTIONS - 1)), lambda j: j)
     low = [F.min(F.get("p", F.lit(j))).alias(f"l{j}") for j in range(PROJECTIONS)]
     high = [F.max(F.get("p", F.lit(j))).alias(f"h{j}") for j in range(PROJECTIONS)]
     blocks = blocked.groupBy("label", "dim", "block").agg(*low, *high)
     blocks = common.written(blocks.select("label", "dim", "block", F.array(*[f"l{j}" for j in range(PROJECTIONS)]).alias("low"), F.array(*[f"h{j}" for j in range(PROJECTIONS)]).alias("high")), "blocks")
     sd = F.sqrt(F.lit(max(2 - 2 * cosine, 0.0)) / F.col("dim"))
-    gaps = F.transform(ranges, lambda j: F.greatest(F.get("low2", j) - F.get("high", j), F.get("low", j) - F.get("high2", j)))
-    other = blocks.select(F.col("label").alias("label2"), F.col("dim").alias("dim2"), F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    near = (F.col("label") == F.col("label2")) & (F.col("dim") == F.col("dim2")) & (F.col("block") <= F.col("block2"))
-    pairs = blocks.join(other, near).withColumn("gaps", gaps)
-    pairs = pairs.where((F.get("gaps", F.lit(0)) <= REACH * sd) & (F.size(F.filter("gaps", lambda g: g > WINDOW * sd)) <= PROJECTIONS - need))
+    # a block meets another by the first slab that both touch, the one widened by what a pair may differ
+    mine = blocks.withColumn("s0", slab(F.get("low", F.lit(0)), F.col("dim"))).withColumn("slab", F.explode(F.sequence("s0", slab(F.get("high", F.lit(0)), F.col("dim")))))
+    wide = blocks.select(*[F.col(c).alias(f"{c}2") for c in blocks.columns], slab(F.get("low", F.lit(0)) - REACH * sd, F.col("dim")).alias("s2"), slab(F.get("high", F.lit(0)) + REACH * sd, F.col("dim")).alias("e2"))
+    wide = wide.withColumn("slab2", F.explode(F.sequence("s2", "e2")))
+    met = (F.col("label") == F.col("label2")) & (F.col("dim") == F.col("dim2")) & (F.col("slab") == F.col("slab2")) & (F.col("slab") == F.greatest("s0", "s2")) & (F.col("block") <= F.col("block2"))
+    gaps = F.zip_with(F.zip_with("low2", "high", lambda a, b: a - b), F.zip_with("low", "high2", lambda a, b: a - b), lambda a, b: F.greatest(a, b))
+    pairs = mine.join(wide, met).withColumn("gaps", gaps)
+    pairs = pairs.where((F.array_max("gaps") <= REACH * sd) & (F.size(F.filter("gaps", lambda g: g > WINDOW * sd)) <= PROJECTIONS - need))
     pairs = pairs.select("label", "dim", "block", "block2", F.xxhash64("label", "dim", "block", "block2").alias("cell"))
     same = F.col("block") == F.col("block2")
     sides = pairs.select("label", "dim", "block", "cell", F.when(same, 2).otherwise(0).alias("side")).union(pairs.where(~same).select("label", "dim", "block2", "cell", F.lit(1)))
