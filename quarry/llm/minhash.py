@@ -7,10 +7,12 @@ similarity 0.75 miss each other at the first level of all ``TREES`` trees with p
 1. In every node each class is paired with the node's first one. Pairs whose signatures agree enough are verified on the
    full sets, and links make components. Near copies by the thousand need one pair each for that.
 2. Only pairs of different components can still add links. Nodes of one component are done. A node that holds more than
-   ``NODE`` classes beside its largest component branches again by one or two more coordinates (4/3 on average, so that
-   pairs of the least similarity are expected to meet once at any depth). In the others the signatures of all pairs across
-   components are compared, in a grid of chunks, so that no task holds more than two chunks of any node; what leaves a
-   cell is not its candidate pairs but a forest that connects them, a row for each class at most.
+   ``NODE`` classes beside its largest component branches again by one more coordinate, chosen by its name, down to
+   ``DEPTH`` coordinates: a pair of the least similarity shares a path of d coordinates in none of the trees with
+   probability (1 - 0.75 ** d) ** TREES, that is 0.2 % at the greatest depth, which only pairs in large nodes reach. In
+   nodes that branch no more the signatures of all pairs across components are compared, in a grid of chunks, so that no
+   task holds more than two chunks of any node; what leaves a cell is not its candidate pairs but a forest that connects
+   them, a row for each class at most.
 3. Forests of all trees join into families, which hold every candidate pair once, whatever the number of trees that found
    it. In the same grid, full sets of a family's members are compared for all its candidate pairs across components that
    earlier links of the cell do not connect already. These links and those of step 1 give the final components.
@@ -20,6 +22,8 @@ join). Links are confirmed on the full sets; hashes have 64 bits.
 
 Texts without words link with nothing, null texts likewise; their component is their own id. Rows that share an id or
 repeat are separate members of classes. Null ids never name a component that has another id; ``kept`` compares null-safe.
+Texts are read whole, however long; an empty table gives an empty result; other columns may have any names, as only the
+text and the id are read. Texts whose sets have one 128-bit digest count as equal.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from quarry.llm import common, shingles
 from quarry.llm.components import connected
 
 #: Trees, classes beside the largest component that a node may hold without branching, greatest depth, rows in a chunk.
-TREES, NODE, DEPTH, CHUNK = 16, 1000, 6, 500
+TREES, NODE, DEPTH, CHUNK = 16, 64, 4, 500
 #: Signatures that agree on fewer coordinates are no candidates: at similarity 0.75 that is 4.6 standard deviations off.
 AGREE = 32
 #: Bits of the bitmap that preselects texts to read again.
@@ -217,12 +221,10 @@ def gridded(members: DataFrame, nodes: DataFrame, more: DataFrame, work) -> Data
 
 
 def branched(members: DataFrame, sigs: DataFrame, depth: int) -> DataFrame:
-    """Children (node, rk, comp): one or two more coordinates for each node, chosen by its name."""
-    pick = lambda k: F.pmod(F.xxhash64(F.lit(depth), F.lit(k), "node"), F.lit(shingles.COORDINATES - TREES)) + TREES
-    child = lambda k: F.xxhash64("node", pick(k), F.substring("sig", (pick(k) * 4 + 1).cast("int"), F.lit(4)))
-    second = F.when(F.pmod(F.xxhash64(F.lit("more"), "node"), F.lit(3)) == 0, child(1))
-    both = F.filter(F.array_distinct(F.array(child(0), second)), lambda x: x.isNotNull())
-    return members.join(sigs, "rk").select(F.explode(both).alias("node"), "rk", "comp")
+    """Children (node, rk, comp) by one more coordinate for each node, chosen by its name among those no tree begins with."""
+    pick = F.pmod(F.xxhash64(F.lit(depth), "node"), F.lit(shingles.COORDINATES - TREES)) + TREES
+    child = F.xxhash64("node", pick, F.substring("sig", (pick * 4 + 1).cast("int"), F.lit(4)))
+    return members.join(sigs, "rk").select(child.alias("node"), "rk", "comp")
 
 
 def mixed_nodes(members: DataFrame) -> DataFrame:
