@@ -3,13 +3,15 @@
 Four measures of a text are compared with fences that come from quantile sketches of its (lang, source) group. A sketch
 is a table of counts over logarithmic buckets (relative error 1 %): sketches merge by adding counts, whatever the order,
 so results do not depend on how rows were dealt out, and a group's sketch, its language's and the whole corpus' come from
-one aggregation. A group with fewer than ``min_docs`` documents takes its language's fences, then the corpus'. Fences lie
+one aggregation. A language's sketch is merged with the corpus' as if that were ``prior`` texts, and a group's with its
+language's likewise, so a small group follows its language and a large one its own texts, without a step between. Fences lie
 beyond the 95th percentile by a multiple of its distance from the median, so that a clean group loses nothing by them.
 That percentile is not read off, as junk may hold it, but carried on from the quartile, which junk of up to a quarter of
 a group does not reach.
 
 Null texts count as texts without words; they fail the base rule like all texts of under 20 words. Null languages and
-sources form groups of their own. Repeated rows are judged each for itself. An empty table gives an empty result.
+sources form groups of their own. Repeated rows are judged each for itself. An empty table gives an empty result. Texts
+are read whole, however long. Other columns stay; where they clash, the added ones get another name.
 """
 
 from __future__ import annotations
@@ -108,11 +110,11 @@ def quantiles(sketch: DataFrame, keys: list[str], shares: dict[str, float]) -> D
     whole = W.partitionBy(*keys, "measure")
     value = F.coalesce(F.pow(F.lit(GAMMA), F.col("bucket") + 0.5), F.lit(0.0))
     cum = sketch.select(*keys, "measure", value.alias("v"), F.sum("n").over(run).alias("c"), F.sum("n").over(whole).alias("n"))
-    return cum.groupBy(*keys, "measure").agg(F.max("n").alias("n"), *[F.min(F.when(F.col("c") >= F.ceil(F.lit(s) * F.col("n")), F.col("v"))).alias(k) for k, s in shares.items()])
+    return cum.groupBy(*keys, "measure").agg(*[F.min(F.when(F.col("c") >= F.lit(s * (1 - 1e-9)) * F.col("n"), F.col("v"))).alias(k) for k, s in shares.items()])
 
 
 def fences(sketch: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """One row for each group: its size and a map from measure to (low, high)."""
+    """One row for each group: (low, high) of each measure."""
     q = quantiles(sketch, keys, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     above, below = TAIL * (F.col("q75") - F.col("q50")), TAIL * (F.col("q50") - F.col("q25"))
     pad = F.create_map(*[x for k, (_, p) in MEASURES.items() for x in (F.lit(k), F.lit(p))])[F.col("measure")]
@@ -120,20 +122,24 @@ def fences(sketch: DataFrame, keys: list[str], reach: float) -> DataFrame:
     high = F.col("q50") + above + F.greatest(reach * above, pad)
     low = F.when(lower, F.col("q50") - below - F.greatest(reach * below, pad)).otherwise(F.lit(-1.0))
     pair = F.struct(low.alias("low"), high.alias("high"))
-    return q.groupBy(*keys).agg(F.max("n").alias("n_docs"), *[F.max(F.when(F.col("measure") == k, pair)).alias(k) for k in MEASURES])
-
-
-def thresholds(sketch: DataFrame, min_docs: int = 200, reach: float = 4.0) -> DataFrame:
-    """Fences for each (lang, source), from the finest group that has ``min_docs`` texts; one row for each pair."""
-    own = fences(sketch, ["lang", "source"], reach)
-    of_lang = fences(merged(sketch, "lang"), ["lang"], reach)
-    whole = fences(merged(sketch), [], reach)
-    names = list(MEASURES)
-    packed = lambda df, as_: df.select(*[c for c in df.columns if c in ("lang", "source")], F.struct("n_docs", *names).alias(as_))
-    lang_side = packed(of_lang, "b").withColumnRenamed("lang", "lang_b")
-    joined = packed(own, "a").join(lang_side, F.col("lang").eqNullSafe(F.col("lang_b")), "left").crossJoin(F.broadcast(packed(whole, "c")))  # c has one row
-    pick = lambda k: F.when(F.col("a.n_docs") >= min_docs, F.col(f"a.{k}")).when(F.col("b.n_docs") >= min_docs, F.col(f"b.{k}")).otherwise(F.col(f"c.{k}"))
-    return joined.select("lang", "source", F.struct(*[pick(k).alias(k) for k in names]).alias("fence"))
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("measure") == k, pair)).alias(k) for k in MEASURES])
+
+
+def shrunk(fine: DataFrame, coarse: DataFrame, keys: list[str], coarse_keys: list[str], prior: float) -> DataFrame:
+    """The finer groups' sketches, each merged with its coarser group's as if that had ``prior`` texts."""
+    packed = coarse.groupBy(*coarse_keys, "measure").agg(F.collect_list(F.struct("bucket", "n")).alias("all"), F.sum("n").alias("total"))  # a sketch's buckets are bounded
+    groups = fine.select(*keys, "measure").distinct()
+    joined = common.bounded_join(groups, common.written(packed, "coarse"), [*coarse_keys, "measure"])
+    share = F.transform("all", lambda x: F.struct(x["bucket"], (F.lit(prior) * x["n"] / F.col("total")).alias("n")))
+    both = fine.select(*keys, "measure", "bucket", F.col("n").cast("double")).unionByName(joined.select(*keys, "measure", F.inline(share)))
+    return both.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+
+
+def thresholds(sketch: DataFrame, prior: float = 100.0, reach: float = 4.0) -> DataFrame:
+    """Fences for each (lang, source); one row for each pair."""
+    of_lang = shrunk(merged(sketch, "lang"), merged(sketch), ["lang"], [], prior)
+    own = fences(shrunk(sketch, of_lang, ["lang", "source"], ["lang"], prior), ["lang", "source"], reach)
+    return own.select("lang", "source", F.struct(*MEASURES).alias("fence"))
 
 
 def judged(df: DataFrame, f: str, fences_by_group: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:

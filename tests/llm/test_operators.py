@@ -166,6 +166,58 @@ def test_sketch_quantiles(spark):
     assert got.q50 == pytest.approx(1000, rel=0.02) and got.q95 == pytest.approx(1900, rel=0.02)
 
 
+def test_quality_query(spark, tmp_path):
+    """Counts, base rule and fences of the query against a version in plain Python, and on groups of any size."""
+    import math
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        lang, source = ("en", f"s{i % 3}") if i % 10 else ("de", "few")
+        words = ["w" * rng.randint(3, 9) for _ in range(rng.randint(25, 60))]
+        if i % 11 == 0:
+            words = [w + "###" for w in words]
+        rows.append((i, "\n".join(" ".join(words[k : k + 10]) for k in range(0, len(words), 10)), lang, source, 0))
+    rows += [(901, None, None, None, None), (902, "", "en", "s0", 0), (903, "one text of a group of its own " * 4, None, "alone", 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in quality.op3_quality_rules(spark, str(tmp_path)).collect()}
+
+    def values(t):
+        w, chars, symbols, dup, repeat = counts(t)
+        lines = sum(1 for x in (t or "").split("\n") if SPACE.search(x))
+        return (chars / max(w, 1), symbols / max(w, 1), dup / max(lines, 1), repeat / max(w, 1))
+
+    failed = {d: (c := counts(t))[0] < 20 or 100 * c[4] > 30 * c[0] for d, t, *_ in rows}
+    bucket = lambda v: math.floor(math.log(v) / math.log(quality.GAMMA)) if v > 0 else None
+
+    def sketch(of):
+        return [Counter(bucket(values(t)[m]) for d, t, lang, source, _ in rows if not failed[d] and of(lang, source)) for m in range(4)]
+
+    def merge(fine, coarse, prior=100.0):
+        return [{b: a.get(b, 0) + prior * c.get(b, 0) / sum(c.values()) for b in {*a, *c}} for a, c in zip(fine, coarse, strict=True)]
+
+    def fence(s, m):
+        order, total, at, q = sorted(s, key=lambda b: (b is not None, b or 0)), sum(s.values()), 0.0, []
+        for b in order:
+            at += s[b]
+            q += [quality.GAMMA ** (b + 0.5) if b is not None else 0.0] * (sum(at >= x * (1 - 1e-9) * total for x in (0.25, 0.5, 0.75)) - len(q))
+        lower, pad = list(quality.MEASURES.values())[m]
+        up, down = quality.TAIL * (q[2] - q[1]), quality.TAIL * (q[1] - q[0])
+        return (q[1] - down - max(4 * down, pad) if lower else -1.0, q[1] + up + max(4 * up, pad))
+
+    whole, held = sketch(lambda *_: True), {}
+    for group in {(lang, source) for d, _, lang, source, _ in rows if not failed[d]}:
+        own = merge(sketch(lambda x, y, group=group: (x, y) == group), merge(sketch(lambda x, _, group=group: x == group[0]), whole))
+        held[group] = [fence(s, m) for m, s in enumerate(own)]
+    for d, t, lang, source, _ in rows:
+        want = not failed[d] and all(lo <= v <= hi for v, (lo, hi) in zip(values(t), held[lang, source], strict=True))
+        r = got[d]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(t)
+        assert (r.base_failed, r.kept) == (failed[d], want), (d, values(t))
+    assert not any(got[i].kept for i in range(0, 900, 11)) and sum(got[i].kept for i in range(900)) > 750
+
+
 # 4 -----------------------------------------------------------------------------------------------------------------
 
 
