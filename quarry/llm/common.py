@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ SPACE = r"\x20\x09-\x0D"
 
 _local_dir: str | None = None
 _written: dict[str, tuple[SparkSession, str]] = {}
+_shipped: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +64,18 @@ def release(*frames: DataFrame) -> None:
             delete(_written.pop(path)[0], path)
 
 
+def paths() -> set[str]:
+    """The tables of :func:`written` that are still there."""
+    return set(_written)
+
+
+def release_paths(some: set[str]) -> None:
+    """Delete these tables of :func:`written`."""
+    for path in some:
+        if path in _written:
+            delete(_written.pop(path)[0], path)
+
+
 def release_all() -> None:
     """Delete every table of :func:`written`; call it once the results that read them are stored."""
     while _written:
@@ -78,11 +93,27 @@ def _at_exit() -> None:
 
 
 def worker_imports(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    have = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    """Let Python workers import this package: from the driver's path in local mode, else from an archive that Spark ships."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if sc.master == "local" or sc.master.startswith("local["):
+        root, have = os.path.dirname(package), sc.environment.get("PYTHONPATH", "")
+        if root not in have.split(os.pathsep):
+            sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    elif _shipped.get("to") != sc.applicationId:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, os.path.dirname(package)))
+        place = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}.zip")
+        out = place.getFileSystem(sc._jsc.hadoopConfiguration()).create(place)
+        out.write(bytearray(held.getvalue()))
+        out.close()
+        sc.addPyFile(place.toString())
+        _shipped["to"] = sc.applicationId
 
 
 def let(value: Column, body) -> Column:

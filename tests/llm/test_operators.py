@@ -545,12 +545,56 @@ def test_small_nodes_and_grid(spark, docs, monkeypatch):
 
 def test_pipeline(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
+    before = pii.op1_pii(spark, docs)
     out = pipeline.run(spark, docs)
+    assert before.count() == len(documents())  # the tables that it reads are still there
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "line_dedup", "minhash_dedup", "source_mixing", "byte_bpe"]
     assert out.count() > 20 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
     common.release_all()
 
 
+def test_pipeline_against_brute_force(spark, docs):
+    """Each stage's rows from the rows of the one before, by the definitions that the operators' own tests hold."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    df, path = spark.read.parquet(f"{docs}/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"]), None
+    rows = {}
+    for name, work in pipeline.STAGES:
+        out = work(spark, df, docs)
+        path = f"{docs}/after-{name}"
+        out.write.mode("overwrite").parquet(path)
+        rows[name], df = df.collect(), spark.read.parquet(path)
+    last = df.collect()
+    good = rows["line_dedup"]
+    base = [r for r in rows["quality_rules"] if (c := counts(r.text))[0] >= 20 and 100 * c[4] <= 30 * c[0]]
+    assert {r.doc_id for r in good} <= {r.doc_id for r in base} and len(good) > 0.8 * len(base)
+    gone = line_oracle([(r.doc_id, r.text) for r in good])
+    want = {}
+    for r in good:
+        text, n = line_dedup.cleaned(r.text, sorted(gone.get((r.doc_id, r.text), ())))
+        if len(gone.get((r.doc_id, r.text), ())) < n:
+            want[r.doc_id] = text
+    assert {r.doc_id: r.text for r in rows["minhash_dedup"]} == want
+    sets = shingle_sets([(d, t) for d, t in want.items()])
+    links = {d: {e for e, b in sets if d != e and a and b and 100 * len(a & b) >= 75 * len(a | b)} for d, a in sets}
+    kept = set()
+    for d in links:
+        seen, todo = {d}, [d]
+        while todo:
+            for e in links[todo.pop()] - seen:
+                seen.add(e)
+                todo.append(e)
+        kept |= {d} if min(seen) == d else set()
+    assert {r.doc_id for r in rows["source_mixing"]} == kept
+    sizes = {r.doc_id: len(SPACE.findall(r.text)) for r in rows["source_mixing"]}
+    taken = Counter()
+    for r in rows["byte_bpe"]:
+        taken[r.doc_id] += len(SPACE.findall(r.text))
+    assert abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= 3 and all(taken[d] <= 2 * sizes[d] for d in taken)
+    import hashlib
+
+    assert Counter(r.decoded_sha256 for r in last) == Counter(hashlib.sha256(r.text.encode()).hexdigest() for r in rows["byte_bpe"])
+
+
 def test_stages_return_document_columns_and_take_empty_tables(spark, empty):
     pipeline = pytest.importorskip("corpus_pipeline")
     df = spark.read.parquet(f"{empty}/documents.parquet")
