@@ -30,7 +30,7 @@ WINDOW = 8
 #: Distance of the 95th percentile from the median over that of the upper quartile, in a normal distribution.
 TAIL = 1.6449 / 0.6745
 #: For each measure: whether it has a lower fence, and the least distance of a fence from the 95th (5th) percentile so found.
-MEASURES = {"mean_word": (True, 1.0), "symbol_share": (False, 0.05), "dup_line_share": (False, 0.2), "repeat_share": (False, 0.2)}
+MEASURES = {"mean_word": (True, 1.0), "symbol_share": (False, 0.05), "dup_line_share": (False, 0.4), "repeat_share": (False, 0.3)}
 
 
 def repeat_words(words: Column, n: int = WINDOW) -> Column:
