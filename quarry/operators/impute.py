@@ -161,37 +161,70 @@ class TimeSeriesImputer(Component):
 
 
 class KNNImputer(Component):
-    """Nulls of numbers by the mean of the nearest complete rows, from a reference set of bounded size.
+    """Nulls of numbers by the mean of the nearest rows that have a value, exactly, over all rows of the fitted table.
 
-    The reference set is the ``max_reference`` rows with the least hashes; distances skip coordinates that are null.
+    Both sides are distinct tuples of values with their counts. Blocks of tuples with nulls meet blocks of the fitted ones;
+    each pair of blocks gives the nearest few for each null, and these are merged. Distances skip coordinates that either
+    side lacks; ties go to the smaller value. The fitted tuples are a table: below ``storage`` if that is given (needed to
+    store the component), else the plan that makes them.
     """
 
-    def fit_state(self, df, y=None, number_neighbors=3, max_reference=2000):
+    QUERIES, ROWS = 2000, 20_000
+
+    def fit_state(self, df, y=None, number_neighbors=3, storage=None):
         columns = [c for c in features_of(df, y) if schema.logical_types(df)[c] in schema.NUMERIC]
-        table = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-        rows = table.where(" or ".join(f"`{c}` is not null" for c in columns)).orderBy(F.xxhash64(*columns), *columns).limit(max_reference).collect()
-        return {"columns": columns, "reference": [list(r) for r in rows]}
+        table = self._tuples(df, columns).where(" or ".join(f"c{i} is not null" for i in range(len(columns))) or "false")
+        if storage:
+            table.write.mode("overwrite").parquet(storage)
+        self.reference = None if storage else table
+        return {"columns": columns}
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        s, k = self.learnt(), self.parameters["number_neighbors"]
-        columns = s["columns"]
-        reference = np.array(s["reference"], dtype=float).reshape(-1, len(columns))
+    @staticmethod
+    def _tuples(df: DataFrame, columns: list[str]) -> DataFrame:
+        cast = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
+        return df.select(*cast).groupBy(*[f"c{i}" for i in range(len(columns))]).agg(F.count(F.lit(1)).alias("n"))
 
-        @F.pandas_udf("array<double>")
-        def near(values: pd.Series) -> pd.Series:
+    def transform(self, df: DataFrame) -> DataFrame:
+        columns, k = self.learnt()["columns"], self.parameters["number_neighbors"]
+        names = [f"c{i}" for i in range(len(columns))]
+        if not columns:
+            return df
+        held = getattr(self, "reference", None)
+        held = held if held is not None else df.sparkSession.read.parquet(self.parameters["storage"])
+        asked = self._tuples(df, columns).where(" or ".join(f"{c} is null" for c in names)).drop("n")
+        left = [-(-asked.count() // self.QUERIES) or 1, -(-held.count() // self.ROWS) or 1]
+        deal = lambda d, n, other, own, rest: d.withColumn(own, F.pmod(F.xxhash64(*names), F.lit(n)).cast("int")).withColumn(rest, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        queries, rows = deal(asked, left[0], left[1], "a", "b"), deal(held, left[1], left[0], "b", "a")
+
+        def nearest(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            x, z, n = q[names].to_numpy(dtype=float), r[names].to_numpy(dtype=float), r["n"].to_numpy()
+            has_x, has_z = ~np.isnan(x), ~np.isnan(z)
+            x0, z0 = np.where(has_x, x, 0.0), np.where(has_z, z, 0.0)
             out = []
-            for v in values:
-                x = np.array(v, dtype=float)
-                gaps = np.isnan(x)
-                if gaps.any() and len(reference):
-                    d = np.where(np.isnan(reference) | gaps, np.nan, (reference - x) ** 2)
-                    dist = np.nanmean(np.where(np.isnan(d).all(1, keepdims=True), np.inf, d), axis=1)
-                    for j in np.flatnonzero(gaps):
-                        have = np.flatnonzero(~np.isnan(reference[:, j]))
-                        best = have[np.argsort(dist[have], kind="stable")[:k]]
-                        x[j] = reference[best, j].mean() if len(best) else np.nan
-                out.append([None if np.isnan(e) else float(e) for e in x])
-            return pd.Series(out)
-
-        filled_ = df.withColumn("_near", near(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])))
-        return filled_.withColumns({c: F.get("_near", F.lit(i)) for i, c in enumerate(columns)}).drop("_near")
+            for at in range(0, len(x), 200):
+                part = slice(at, at + 200)
+                shared = has_x[part].astype(float) @ has_z.T.astype(float)
+                d = sum((has_x[part, j, None] & has_z[None, :, j]) * (x0[part, j, None] - z0[None, :, j]) ** 2 for j in range(len(names)))
+                d = np.where(shared > 0, d / np.maximum(shared, 1), np.inf)
+                for j in range(len(names)):
+                    (have,) = np.nonzero(has_z[:, j])
+                    order = have[np.lexsort((n[have], z[have, j]))]
+                    for i in np.flatnonzero(~has_x[part, j]):
+                        near = d[i, order]
+                        keep = np.argsort(near, kind="stable")[:k] if len(near) <= 4 * k else np.sort(np.flatnonzero(near <= np.partition(near, k - 1)[k - 1]))
+                        keep = keep[np.argsort(near[keep], kind="stable")][:k]
+                        out += [(*x[at + i], j, near[m], z[order[m], j], int(n[order[m]])) for m in keep]
+            return pd.DataFrame(out, columns=[*names, "j", "d", "v", "w"])
+
+        kinds = ", ".join(f"{c} double" for c in names)
+        found = queries.groupBy("a", "b").cogroup(rows.groupBy("a", "b")).applyInPandas(nearest, f"{kinds}, j int, d double, v double, w bigint")
+        keys = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in names]
+        merged = found.select(*keys, "j", "d", "v", "w").groupBy(*names, "j").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "v", "w"))), 1, k).alias("near"))  # k for each block of rows
+        take = F.aggregate("near", F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n")), lambda acc, e: F.struct((acc["s"] + e["v"] * F.least(e["w"], k - acc["n"])).alias("s"), (acc["n"] + F.least(e["w"], k - acc["n"])).alias("n")))
+        means = merged.select(*names, "j", take.alias("t")).groupBy(*names).agg(*[F.max(F.when(F.col("j") == j, F.col("t.s") / F.col("t.n"))).alias(f"m{j}") for j in range(len(names))])
+        own = [F.col(f"`{c}`").cast("double") for c in columns]
+        same = F.lit(True)
+        for c, o in zip(names, own, strict=True):
+            same = same & o.eqNullSafe(F.col(c))
+        joined = df.join(means, same, "left")
+        return joined.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.col(f"m{columns.index(c)}")).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])

@@ -126,12 +126,14 @@ def jarque_bera(spark, sf_dir):
     return got.select(F.round(F.col("n") / 6 * (F.pow("s", F.lit(2)) + F.pow("k", F.lit(2)) / 4), 4).alias("jb"))
 
 
-_DAYS = "(select distinct date_trunc('day', o_orderdate) as d from orders where o_orderkey % 3 = 0)"
+#: Days without an order above this price are the gaps of a calendar of days.
+CUT = 337_000
+_DAYS = f"(select distinct date_trunc('day', o_orderdate) as d from orders where o_totalprice > {CUT})"
 
 
 @register("datetime_gaps", f"select strftime(g.d, '%Y-%m-%d') as missing from (select unnest(generate_series((select min(d) from {_DAYS} a), (select max(d) from {_DAYS} b), interval 1 day)) as d) g left join {_DAYS} t on g.d = t.d where t.d is null")
 def datetime_gaps(spark, sf_dir):
-    days = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.date_trunc("day", "o_orderdate").alias("d")).distinct()
+    days = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > CUT).select(F.date_trunc("day", "o_orderdate").alias("d")).distinct()
     return ts.calendar(days, "d", 86400).join(days, "d", "left_anti").select(F.date_format("d", "yyyy-MM-dd").alias("missing"))
 
 

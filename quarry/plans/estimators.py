@@ -83,7 +83,7 @@ def _ml(name: str, p: dict, classes: int, n: int):
     kind = name.replace("Classifier", "").replace("Regressor", "")
     reg = 1.0 / max(p.get("C", 1.0) * n, 1.0)
     if name.endswith("Classifier"):
-        boost = lambda: C.GBTClassifier(maxDepth=p["max_depth"], maxIter=min(p["n_estimators"], 50), stepSize=max(p["eta"], 1e-6), seed=0)
+        boost = lambda: C.GBTClassifier(maxDepth=p["max_depth"], maxIter=p["n_estimators"], stepSize=max(p["eta"], 1e-6), seed=0)
         one = {
             "LogisticRegression": lambda: C.LogisticRegression(regParam=reg, elasticNetParam=0.0),
             "ElasticNet": lambda: C.LogisticRegression(regParam=reg, elasticNetParam=p["l1_ratio"]),
@@ -94,7 +94,7 @@ def _ml(name: str, p: dict, classes: int, n: int):
         }.get(kind, boost)()
         only_two = kind in ("XGBoost", "LightGBM", "CatBoost", "SVM")
         return C.OneVsRest(classifier=one) if only_two and classes > 2 else one
-    boost = lambda: R.GBTRegressor(maxDepth=p["max_depth"], maxIter=min(p["n_estimators"], 50), stepSize=max(p["eta"], 1e-6), seed=0)
+    boost = lambda: R.GBTRegressor(maxDepth=p["max_depth"], maxIter=p["n_estimators"], stepSize=max(p["eta"], 1e-6), seed=0)
     return {
         "Linear": lambda: R.LinearRegression(fitIntercept=p["fit_intercept"], solver="normal"),
         "ElasticNet": lambda: R.LinearRegression(regParam=p["alpha"], elasticNetParam=p["l1_ratio"]),

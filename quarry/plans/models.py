@@ -22,14 +22,13 @@ def _fit(name: str, problem: str):
     def run(spark, sf_dir):
         if problem == "regression":
             li = table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("row_id"), "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-            return make_pipeline(li, "l_extendedprice", name, problem, {name: _SMALL.get(name, {})}, key="row_id").fit(li, "l_extendedprice").predict(li).select("row_id", "prediction")
+            return make_pipeline(li, "l_extendedprice", name, problem, key="row_id").fit(li, "l_extendedprice").predict(li).select("row_id", "prediction")
         d = labelled(spark, sf_dir)
-        return make_pipeline(d, "quality", name, problem, {name: _SMALL.get(name, {})}, key="doc_id").fit(d, "quality").predict_proba(d).select("doc_id", "prediction")
+        return make_pipeline(d, "quality", name, problem, key="doc_id").fit(d, "quality").predict_proba(d).select("doc_id", "prediction")
 
     return run
 
 
-_SMALL = {n: {"n_estimators": 10} for n in est.ESTIMATORS if "n_estimators" in est.ESTIMATORS[n].defaults}
 for _name, _query in (
     ("LinearRegressor", "fit_linear"), ("ElasticNetRegressor", "fit_elastic_net"), ("DecisionTreeRegressor", "fit_tree_regressor"), ("RandomForestRegressor", "fit_forest_regressor"), ("XGBoostRegressor", "fit_boosted_regressor"),
     ("BaselineRegressor", "fit_baseline_regressor"),
@@ -65,9 +64,10 @@ for _name, _query in (("ExponentialSmoothingRegressor", "holt_winters"), ("ARIMA
 def vector_autoregression(spark, sf_dir):
     from quarry.operators.series import unstack
 
-    ids = ["1-URGENT", "2-HIGH"]
-    wide = unstack(_daily(spark, sf_dir), ["y"], "o_orderpriority", "d", ids)
-    return est.var_forecast(wide, [f"y|{i}" for i in ids], "d", 5).toDF("step", "urgent", "high")
+    daily = _daily(spark, sf_dir)
+    ids = sorted(r[0] for r in daily.select("o_orderpriority").distinct().collect())
+    wide = unstack(daily, ["y"], "o_orderpriority", "d", ids)
+    return est.var_forecast(wide, [f"y|{i}" for i in ids], "d", 5).toDF("step", *[i.split("-")[-1].lower().replace(" ", "_") for i in ids])
 
 
 @register("prediction_intervals")

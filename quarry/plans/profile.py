@@ -364,14 +364,17 @@ def ts_splitting_check(df: DataFrame, y: str, time_index: str, n_splits: int = 3
     return [Message("TimeSeriesSplittingDataCheck", "error", "TIMESERIES_TARGET_NOT_COMPATIBLE_WITH_SPLIT", f"splits {bad} miss classes", {"splits": bad})] if bad else []
 
 
-def series_length_check(df: DataFrame, series_id: str) -> list[Message]:
+def series_length_check(df: DataFrame, series_id: str, max_named: int = 1000) -> list[Message]:
+    """Series of another length than most: their number, and the names of the first ``max_named``."""
     name = "MismatchedSeriesLengthDataCheck"
     if series_id not in df.columns:
         return [Message(name, "error", "INVALID_SERIES_ID_COL", "there is no column of the series id")]
     sizes = df.groupBy(series_id).count()
     major = sizes.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("count")).first()
-    bad = [r[0] for r in sizes.where(F.col("count") != major["count"]).select(series_id).limit(1000).collect()] if major else []
-    return [Message(name, "warning", "MISMATCHED_SERIES_LENGTH", f"{len(bad)} series differ from the majority length {major['count']}", {"series": bad, "majority_length": major["count"]})] if bad else []
+    odd = sizes.where(F.col("count") != major["count"]) if major else sizes
+    n = odd.count() if major else 0
+    shown = [r[0] for r in odd.orderBy(series_id).select(series_id).limit(max_named).collect()] if n else []
+    return [Message(name, "warning", "MISMATCHED_SERIES_LENGTH", f"{n} series differ from the majority length {major['count']}", {"series": shown, "n_series": n, "majority_length": major["count"]})] if n else []
 
 
 def default_checks(df: DataFrame, y: str, problem: str, config: dict | None = None) -> list[Message]:

@@ -186,9 +186,9 @@ def partial_dependence_two_way(spark, sf_dir):
     return out.select(F.round("value_1", 4).alias("value_1"), F.round("value_2", 4).alias("value_2"), F.round("average", 6).alias("average"))
 
 
-@register("ice", "select o_orderkey, g.v::double as value, round(o_totalprice * 0.5 + g.v * 10.0, 4) as prediction from orders, (values (0), (1), (2)) g(v) where o_orderkey % 100 = 0")
+@register("ice", "select o_orderkey, g.v::double as value, round(o_totalprice * 0.5 + g.v * 10.0, 4) as prediction from orders, (values (0), (1), (2)) g(v)")
 def ice(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select("o_orderkey", "o_totalprice", F.lit(0.0).alias("x"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.lit(0.0).alias("x"))
     out = explain.ice(o, "x", lambda c: c["o_totalprice"] * 0.5 + c["x"] * 10.0, [0.0, 1.0, 2.0])
     return out.select("o_orderkey", "value", F.round("prediction", 4).alias("prediction"))
 
@@ -225,26 +225,34 @@ def rows_of_interest(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", F.round("distance", 6).alias("distance"))
 
 
-_RES = "(values ('a', 0.9, 0.3), ('a', 0.8, 0.2), ('b', 0.7, 0.5), ('c', 0.95, 0.9)) r(pipeline, auc, loss)"
+_RES = "(select o_orderpriority as pipeline, o_orderstatus, round(avg(o_totalprice) / 500000, 6) as auc, round(avg(o_custkey) / 1000, 6) as loss from orders group by 1, 2) r"
 
 
-def _results(spark):
-    return spark.createDataFrame([("a", 0.9, 0.3), ("a", 0.8, 0.2), ("b", 0.7, 0.5), ("c", 0.95, 0.9)], "pipeline string, AUC double, LogLossBinary double")
+def _results(spark, sf_dir):
+    """A score of two kinds for each priority and status, as results of pipelines."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("pipeline"), "o_orderstatus")
+    return o.agg(F.round(F.avg("o_totalprice") / 500000, 6).alias("AUC"), F.round(F.avg("o_custkey") / 1000, 6).alias("LogLossBinary"))
 
 
-@register("rankings", f'select pipeline, auc::double as "AUC" from (select *, row_number() over (partition by pipeline order by auc desc) as k from {_RES}) t where k = 1')
+@register("rankings", f'select pipeline, max(auc)::double as "AUC" from {_RES} group by 1')
 def rankings(spark, sf_dir):
     from quarry.plans import search
 
-    return search.best_per_name(_results(spark), "pipeline", "AUC", True).select("pipeline", "AUC")
+    return search.best_per_name(_results(spark, sf_dir), "pipeline", "AUC", True).select("pipeline", "AUC")
 
 
-@register("recommendation", f"select pipeline, round(100 * (0.5 * auc + 0.5 * (1 - loss / (select max(loss) from {_RES}))), 6)::double as recommendation from {_RES}")
+@register("recommendation", f"select pipeline || o_orderstatus as pipeline, round(100 * (0.5 * auc + 0.5 * (1 - (loss - least(min(loss) over (), 0)) / (greatest(max(loss) over (), 0) - least(min(loss) over (), 0)))), 4)::double as recommendation from {_RES}")
 def recommendation(spark, sf_dir):
-    return metrics.recommendation(_results(spark), ["AUC", "LogLossBinary"]).withColumn("recommendation", F.round("recommendation", 6))
+    named = _results(spark, sf_dir).withColumn("pipeline", F.concat("pipeline", "o_orderstatus"))
+    return metrics.recommendation(named, ["AUC", "LogLossBinary"]).withColumn("recommendation", F.round("recommendation", 4))
 
 
-@register("influential_features", "select f as feature, case when v < 0 then 'detrimental' when v / 1.0 >= 0.2 then 'heavy' when v / 1.0 >= 0.05 then 'somewhat' end as influence from (values ('a', 0.7), ('b', 0.18), ('c', 0.02), ('d', -0.1)) t(f, v) where v < 0 or v >= 0.05")
+_CORR = "(select 'l_quantity' as f, corr(l_quantity, l_extendedprice) as v from lineitem union all select 'l_discount', corr(l_discount, l_extendedprice) from lineitem union all select 'l_tax', corr(l_tax, l_extendedprice) from lineitem) c"
+
+
+@register("influential_features", f"select f as feature, case when v < 0 then 'detrimental' when s >= 0.2 then 'heavy' when s >= 0.05 then 'somewhat' end as influence from (select f, v, greatest(v, 0) / sum(abs(v)) over () as s from {_CORR}) t where v < 0 or s >= 0.05")
 def influential_features(spark, sf_dir):
-    imp = spark.createDataFrame([("a", 0.7), ("b", 0.18), ("c", 0.02), ("d", -0.1)], "feature string, importance double")
+    names = ["l_quantity", "l_discount", "l_tax"]
+    one = table(spark, sf_dir, "lineitem").agg(*[F.corr(c, "l_extendedprice").alias(c) for c in names])
+    imp = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in names])))
     return explain.influential_features(imp).select("feature", "influence")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.catalog import register
 from quarry.operators import columns, encode, featurize, impute, sample, series, split
-from quarry.plans.checks import HOLED
+from quarry.plans.checks import CUT, HOLED
 from quarry.sources.tables import holed_events, table
 
 
@@ -63,15 +63,15 @@ def impute_interpolate(spark, sf_dir):
     return _filled(spark, sf_dir, "interpolate")
 
 
-@register("impute_target", f"select event_id, coalesce(event_type, (select event_type from {HOLED} m where event_type is not null group by 1 order by count(*) desc, event_type limit 1)) as event_type from {HOLED} e where event_id % 2 = 0")
+@register("impute_target", f"select event_id, coalesce(event_type, (select event_type from {HOLED} m where event_type is not null group by 1 order by count(*) desc, event_type limit 1)) as event_type from {HOLED} e")
 def impute_target(spark, sf_dir):
     e = holed_events(spark, sf_dir)
-    return impute.TargetImputer().fit(e, "event_type").transform(e).where("event_id % 2 = 0").select("event_id", "event_type")
+    return impute.TargetImputer().fit(e, "event_type").transform(e).select("event_id", "event_type")
 
 
 @register("impute_knn")
 def impute_knn(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_quantity", F.when(F.col("l_orderkey") % 4 != 0, F.col("l_extendedprice")).alias("l_extendedprice"), "l_discount")
+    li = table(spark, sf_dir, "lineitem").select("l_quantity", F.when(F.col("l_shipmode") != "AIR", F.col("l_extendedprice")).alias("l_extendedprice"), "l_discount")
     return impute.KNNImputer().fit(li).transform(li)
 
 
@@ -204,13 +204,13 @@ def select_by_type(spark, sf_dir):
     return columns.SelectByType(column_types=("integer", "double")).fit_transform(table(spark, sf_dir, "events"))
 
 
-_SKEWED = "(select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'P' or o_orderkey % 20 = 0)"
+_SKEWED = "(select o_orderkey, case when o_totalprice > 480000 then 'dear' else 'plain' end as o_orderstatus from orders)"
 _QUOTA = f"(select greatest(cast(floor(min(n) / 0.25) as bigint), 100) as q, min(n) as least from (select count(*) as n from {_SKEWED} s group by o_orderstatus) c)"
 
 
 @register("undersample", f"select o_orderkey, o_orderstatus from (select *, row_number() over (partition by o_orderstatus order by ((o_orderkey % 2147483647) * 48271) % 2147483647, o_orderkey) as r, count(*) over (partition by o_orderstatus) as n from {_SKEWED} s) t, {_QUOTA} q where r <= q or n <= q or least * 1.0 / n > 0.25")
 def undersample(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P' or o_orderkey % 20 = 0").select("o_orderkey", "o_orderstatus")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 480000, "dear").otherwise("plain").alias("o_orderstatus"))
     return sample.Undersampler(key="o_orderkey", min_percentage=0.0).fit(o, "o_orderstatus").transform(o)
 
 
@@ -243,9 +243,9 @@ def acf(spark, sf_dir):
     return spark.createDataFrame([(k, round(v, 6)) for k, v in enumerate(values)], "lag int, r double")
 
 
-@register("regularize", f"with h as (select distinct date_trunc('day', o_orderdate) as d from orders where o_orderkey % 3 = 0) select strftime(g.d, '%Y-%m-%d') as day, h.d is not null as present from (select unnest(generate_series((select min(d) from h), (select max(d) from h), interval 1 day)) as d) g left join h on g.d = h.d")
+@register("regularize", f"with h as (select distinct date_trunc('day', o_orderdate) as d from orders where o_totalprice > {CUT}) select strftime(g.d, '%Y-%m-%d') as day, h.d is not null as present from (select unnest(generate_series((select min(d) from h), (select max(d) from h), interval 1 day)) as d) g left join h on g.d = h.d")
 def regularize(spark, sf_dir):
-    days = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.date_trunc("day", "o_orderdate").alias("d")).distinct().withColumn("present", F.lit(True))
+    days = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > CUT).select(F.date_trunc("day", "o_orderdate").alias("d")).distinct().withColumn("present", F.lit(True))
     out = series.TimeSeriesRegularizer(time_index="d", threshold=0.9).fit(days).transform(days)
     return out.select(F.date_format("d", "yyyy-MM-dd").alias("day"), F.coalesce("present", F.lit(False)).alias("present"))
 

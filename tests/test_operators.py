@@ -193,3 +193,31 @@ def test_outliers(spark):
     found = profile.outlier_check(spark.createDataFrame([*calm, *[(1000.0 + i,) for i in range(60)]], "x double"))
     assert found[0].code == "HAS_OUTLIERS" and found[0].details["rows"] == {"x": 60}
     assert profile.no_outlier_probability(500, 0.0) == 1.0
+
+
+def test_knn_against_brute_force(spark):
+    import random
+
+    from quarry.operators import impute
+
+    rng = random.Random(3)
+    rows = [tuple(None if rng.random() < 0.2 else float(rng.randrange(25)) for _ in range(3)) for _ in range(300)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k string, a double, b double, c double")
+    step = impute.KNNImputer(number_neighbors=3)
+    step.QUERIES, step.ROWS = 40, 70
+    got = {r.k: (r.a, r.b, r.c) for r in step.fit(df).transform(df).collect()}
+    for i, r in enumerate(rows):
+        for j in range(3):
+            if r[j] is None:
+                far = lambda s, r=r: (lambda d: sum(d) / len(d) if d else float("inf"))([(x - y) ** 2 for x, y in zip(r, s, strict=True) if x is not None and y is not None])
+                near = sorted((round(far(s), 9), s[j]) for s in rows if s[j] is not None)[:3]
+                assert abs(got[str(i)][j] - sum(v for _, v in near) / 3) < 1e-9, (i, j)
+            else:
+                assert got[str(i)][j] == r[j]
+
+
+def test_boosting_runs_all_rounds_asked_for():
+    from quarry.plans import estimators as est
+
+    for name in ("XGBoostClassifier", "XGBoostRegressor", "LightGBMClassifier", "CatBoostRegressor"):
+        assert est._ml(name, est.ESTIMATORS[name].defaults | {"n_estimators": 150}, 2, 1).getOrDefault("maxIter") == 150
