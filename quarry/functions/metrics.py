@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.ordered import running, with_previous
+
 EPS = 2.220446049250313e-16
 
 
@@ -120,8 +122,11 @@ def score_table(df: DataFrame, y: str, score: str, by: list[str] | None = None)
 
 def auc(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve and Gini: a positive beats all negatives of smaller scores and half of those that tie."""
-    below = W.partitionBy(*(by or [F.lit(0)])).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    t = score_table(df, y, score, by).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    t = score_table(df, y, score, by)
+    if by:
+        t = t.withColumn("under", F.coalesce(F.sum("neg").over(W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    else:
+        t = running(t, {"under": "neg"}, "score").withColumn("under", F.col("under") - F.col("neg"))
     area = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))
     return t.groupBy(*(by or [])).agg(area.alias("AUC"), (2 * area - 1).alias("Gini"))
 
@@ -135,10 +140,9 @@ def multiclass_auc(df: DataFrame, y: str, probas: dict) -> DataFrame:
 
 def curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """For each distinct score as threshold (score >= threshold): tp, fp, and the totals."""
-    above = W.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(F.lit(0))
     t = score_table(df, y, score)
-    return t.select("score", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
+    totals = t.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return running(t, {"tp": "pos", "fp": "neg"}, F.desc("score")).crossJoin(F.broadcast(totals)).select("score", "tp", "fp", "p", "n")  # totals are one row
 
 
 def roc_points(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -151,8 +155,7 @@ def pr_points(df: DataFrame, y: str, score: str) -> DataFrame:
 
 def best_threshold(df: DataFrame, y: str, score: str, objective: str = "F1") -> DataFrame:
     """The threshold (score > threshold) with the best value of a binary objective, found exactly over all scores."""
-    lower = F.lead("score", 1).over(W.partitionBy(F.lit(0)).orderBy(F.desc("score")))
-    c = curve(df, y, score).withColumn("next", F.coalesce(lower, F.lit(0.0)))
+    c = with_previous(curve(df, y, score), "score", "score", "next").withColumn("next", F.coalesce("next", F.lit(0.0)))
     parts = {"tp": F.col("tp"), "fp": F.col("fp"), "fn": F.col("p") - F.col("tp"), "tn": F.col("n") - F.col("fp")}
     return c.select(F.col("next").alias("threshold"), BINARY[objective](parts).alias("value")).orderBy(F.desc("value"), F.desc("threshold")).limit(1)
 
@@ -282,6 +285,97 @@ def recommendation(results: DataFrame, names: list[str], by: str = "pipeline", p
     return normalized(results, names, by).select(by, (100 * total).alias("recommendation"))
 
 
+def _given(value, message: str):
+    if value is None:
+        raise ValueError(message)
+    return value
+
+
+class CustomObjective:
+    """An objective to subclass: ``score`` turns a table of labels and predictions into a number.
+
+    ``decision`` turns probabilities into labels at a threshold, and ``best_threshold`` tries the distinct scores' even
+    quantiles for it, each in the same pass if ``score_column`` is given as an aggregate.
+    """
+
+    name, problems, greater_is_better, perfect, bounds, percentage, positive_only = "Custom", (), True, 1.0, (0.0, 1.0), False, False
+
+    def score_column(self, y: Column, pred: Column) -> Column:
+        """The objective as an aggregate of two columns."""
+        raise NotImplementedError
+
+    def validate(self, df: DataFrame, y: str, pred: str) -> None:
+        """Raise for empty tables, nulls, infinite predictions, and labels that must be positive and are not."""
+        bad = F.col(pred).isNull() | F.col(y).isNull()
+        if df.schema[pred].dataType.typeName() in ("float", "double"):
+            bad = bad | F.isnan(pred) | (F.abs(pred) == float("inf"))
+        low = F.count(F.when(F.col(y) <= 0, 1)) if self.positive_only else F.lit(0)
+        n, wrong, small = df.agg(F.count(F.lit(1)), F.count(F.when(bad, 1)), low).first()
+        if not n:
+            raise ValueError("there are no rows")
+        if wrong:
+            raise ValueError(f"{wrong} rows have null or infinite values")
+        if small:
+            raise ValueError(f"{self.name} is undefined where labels are not positive")
+
+    def score(self, df: DataFrame, y: str, pred: str) -> float:
+        self.validate(df, y, pred)
+        return df.agg(self.score_column(F.col(y), F.col(pred)).alias("s")).first()["s"]
+
+    def decision(self, proba: Column, threshold: float = 0.5) -> Column:
+        return (proba > threshold).cast("int")
+
+    def best_threshold(self, df: DataFrame, y: str, proba: str, steps: int = 100) -> float:
+        values = [i / steps for i in range(steps)]
+        got = df.agg(*[self.score_column(F.col(y), self.decision(F.col(proba), t)).alias(str(i)) for i, t in enumerate(values)]).first()
+        pairs = [(v, -t) if self.greater_is_better else (-v, -t) for v, t in zip(got, values, strict=True) if v is not None]
+        return -max(pairs)[1] if pairs else 0.5
+
+    def percent_better(self, score: float, baseline: float) -> float:
+        return Objective(self.name, tuple(self.problems), self.greater_is_better, percentage=self.percentage).percent_better(score, baseline)
+
+
+#: Objectives that rank pipelines but are not optimised, and those that recommendations weigh by default.
+RANKING_ONLY = ("RootMeanSquaredLogError", "MeanSquaredLogError", "MAPE", "SMAPE", "MASE", "Recall", "RecallMicro", "RecallMacro", "RecallWeighted")
+RECOMMENDED = {
+    "binary": ("F1", "BalancedAccuracyBinary", "AUC", "LogLossBinary"),
+    "binary_imbalanced": ("F1", "AUC", "LogLossBinary"),
+    "multiclass": ("F1Macro", "BalancedAccuracyMulticlass", "AUCMacro", "LogLossMulticlass"),
+    "multiclass_imbalanced": ("F1Weighted", "AUCWeighted", "LogLossMulticlass"),
+    "regression": ("MSE", "MAE", "MedianAE", "R2"),
+    "time_series_regression": ("MSE", "MAE", "MedianAE", "R2"),
+    "multiseries_time_series_regression": ("MSE", "MAE", "MedianAE", "R2"),
+}
+
+
+def ranking_only_objectives() -> list[Objective]:
+    return [OBJECTIVES[n] for n in RANKING_ONLY]
+
+
+def optimization_objectives(problem: str) -> list[Objective]:
+    return [o for o in objectives_for(problem) if o.name not in RANKING_ONLY]
+
+
+def ranking_objectives(problem: str) -> list[Objective]:
+    return objectives_for(problem) + [o for o in ranking_only_objectives() if problem in o.problems and not o.core]
+
+
+def recommended_objectives(problem: str, imbalanced: bool = False) -> list[str]:
+    """What a recommendation score weighs for a problem; imbalanced classes have a set of their own."""
+    kind = problem.removeprefix("time_series_") if problem.endswith(("binary", "multiclass")) else problem
+    return list(RECOMMENDED[f"{kind}_imbalanced" if imbalanced and f"{kind}_imbalanced" in RECOMMENDED else kind])
+
+
+def organized_objectives(problem: str, include: list[str] | None = None, exclude: list[str] | None = None, imbalanced: bool = False) -> list[str]:
+    """The recommended objectives with some more and without others; both must be known, and not overlap."""
+    for n in [*(include or []), *(exclude or [])]:
+        objective(n)
+    if set(include or []) & set(exclude or []):
+        raise ValueError(f"both included and excluded: {sorted(set(include) & set(exclude))}")
+    base = [n for n in recommended_objectives(problem, imbalanced) if n not in (exclude or [])]
+    return base + [n for n in include or [] if n not in base]
+
+
 @dataclass
 class Scores:
     """Objectives of one prediction table, and what failed."""
@@ -290,8 +384,12 @@ class Scores:
     errors: dict[str, str] = field(default_factory=dict)
 
 
-def score_all(df: DataFrame, problem: str, names: list[str], y: str, pred: str, proba: str | None = None, probas: dict | None = None) -> Scores:
-    """Every objective asked for; label objectives come from one aggregation, and one that fails leaves the others."""
+def score_all(df: DataFrame, problem: str, names: list[str], y: str, pred: str, proba: str | None = None, probas: dict | None = None, amount: str | None = None, costs: tuple[float, float, float, float] = (1.0, 1.0, -1.0, -1.0), train: tuple[DataFrame, str, str] | None = None) -> Scores:
+    """Every objective asked for; label objectives come from one aggregation, and one that fails leaves the others.
+
+    ``amount`` is the column that FraudCost weighs by, ``costs`` what CostBenefitMatrix counts for true and false positives
+    and negatives (tp, tn, fp, fn), ``train`` the training series with its value and time columns that MASE compares with.
+    """
     out = Scores()
     plans: dict[str, object] = {}
     if problem in _B:
@@ -299,6 +397,9 @@ def score_all(df: DataFrame, problem: str, names: list[str], y: str, pred: str,
         plans |= {n: (lambda: auc(df, y, proba)) for n in ("AUC", "Gini")}
         plans["LogLossBinary"] = lambda: df.agg(log_loss(F.when(F.col(y) == 1, F.col(proba)).otherwise(1 - F.col(proba))).alias("LogLossBinary"))
         plans["SensitivityLowAlert"] = lambda: sensitivity_low_alert(df, y, proba)
+        plans["CostBenefitMatrix"] = lambda: df.agg(cost_benefit(F.col(y), F.col(pred), *costs).alias("CostBenefitMatrix"))
+        plans["LeadScoring"] = lambda: df.agg(lead_scoring(F.col(y), F.col(pred)).alias("LeadScoring"))
+        plans["FraudCost"] = lambda: df.agg(fraud_cost(F.col(y), F.col(pred), F.col(_given(amount, "FraudCost needs the amount column"))).alias("FraudCost"))
     elif problem in _M:
         labels = ("AccuracyMulticlass", "BalancedAccuracyMulticlass", "F1Micro", "F1Macro", "F1Weighted", "PrecisionMicro", "PrecisionMacro", "PrecisionWeighted", "RecallMicro", "RecallMacro", "RecallWeighted", "MCCMulticlass")
         plans = {n: (lambda: multiclass_scores(df, y, pred)) for n in labels}
@@ -308,6 +409,7 @@ def score_all(df: DataFrame, problem: str, names: list[str], y: str, pred: str,
     else:
         plans = {n: (lambda: regression_scores(df, y, pred, [x for x in names if x in REGRESSION and x not in ("MAPE", "SMAPE")])) for n in REGRESSION}
         plans |= {n: (lambda k=n: regression_scores(df, y, pred, [k])) for n in ("MAPE", "SMAPE")}
+        plans["MASE"] = lambda: mase(df, y, pred, *_given(train, "MASE needs the training series"))
     done: dict[str, float] = {}
     for n in names:
         if n in done:

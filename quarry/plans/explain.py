@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import metrics
+from quarry.functions.ordered import numbered
 from quarry.operators.sample import hash_order
 
 
@@ -93,10 +94,8 @@ def mostly_one_value(df: DataFrame, feature: str, percentile: float) -> bool:
 
 def shuffled(df: DataFrame, key: str, column: str, seed: int = 0) -> DataFrame:
     """The table with one column's values dealt to other rows: ranks by key meet ranks by a hash of the key."""
-    i = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key))
-    j = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(hash_order(F.col(key), seed), key))
-    left = df.withColumn("_i", i)
-    right = df.select(j.alias("_j"), F.col(f"`{column}`").alias("_v"))
+    left = numbered(df, "_i", key)
+    right = numbered(df.select(key, F.col(f"`{column}`").alias("_v")), "_j", hash_order(F.col(key), seed), key).select("_j", "_v")
     return left.join(right, F.col("_i") == F.col("_j")).drop("_i", "_j")
 
 
