@@ -59,3 +59,36 @@ def validate_holdout(n_rows: int, horizon: int, starts_after_gap: bool) -> list[
     if not starts_after_gap:
         out.append("the first row does not follow the training data and the gap")
     return out
+
+
+def random_seed(state, low: int = 0, high: int = 2**31 - 1) -> int:
+    """A whole number from a generator, or a given number brought into the range."""
+    if isinstance(state, np.random.Generator):
+        return int(state.integers(low, high))
+    return int(state) if low <= int(state) < high else low + abs(int(state)) % (high - low)
+
+
+def safe_repr(value) -> str:
+    """Like ``repr``, with infinities and what is no number in a form that Python reads back."""
+    if isinstance(value, float) and (value != value or value in (float("inf"), float("-inf"))):
+        return f"float({str(value)!r})"
+    if isinstance(value, list):
+        return f"[{', '.join(map(safe_repr, value))}]"
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{k!r}: {safe_repr(v)}" for k, v in value.items()) + "}"
+    return repr(value)
+
+
+def matched(x: DataFrame, y: DataFrame, key: str) -> DataFrame:
+    """Features and target of the same rows, side by side by key."""
+    return x.join(y, key)
+
+
+def fractional_type(kind: str) -> str:
+    """The type that a nullable column takes when fractions are imputed: integers become doubles, booleans categories."""
+    return {"integer": "double", "boolean": "category"}.get(kind, kind)
+
+
+def imputed_types(types: dict[str, str], strategies: dict[str, str]) -> dict[str, str]:
+    """Logical types after imputation: means, medians and interpolation make integers fractional, other strategies keep types."""
+    return {c: fractional_type(k) if strategies.get(c) in ("mean", "median", "interpolate", "knn") and k == "integer" else k for c, k in types.items()}

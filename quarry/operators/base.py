@@ -81,3 +81,17 @@ def component(name: str | type[Component]) -> type[Component]:
     if name not in COMPONENTS:
         raise ValueError(f"no component {name!r}")
     return COMPONENTS[name]
+
+
+def all_components() -> dict[str, type[Component]]:
+    """Every component by name."""
+    return dict(sorted(COMPONENTS.items()))
+
+
+def component_code(step: Component) -> str:
+    """Python that builds a component anew."""
+    if not isinstance(step, Component):
+        raise ValueError("code is made for components only")
+    kind = type(step)
+    given = ", ".join(f"{k}={v!r}" for k, v in step.parameters.items())
+    return f"from {kind.__module__} import {kind.__name__}\n\n{kind.__name__[0].lower()}{kind.__name__[1:]} = {kind.__name__}({given})\n"

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.ordered import numbered
 from quarry.operators.encode import vectors
 from quarry.operators.series import naive_forecast, series_window
 
@@ -118,7 +119,12 @@ class Estimator:
     def fit(self, df: DataFrame, y: str, features: list[str]) -> Estimator:
         self.y, self.features = y, features
         data = df.where(F.col(f"`{y}`").isNotNull())
-        if self.spec.family == "baseline":
+        if self.name in KERNELS:
+            keys = [self.parameters[k] for k in ("time_index", "series_id") if self.parameters.get(k)]
+            if not self.parameters.get("time_index"):
+                raise ValueError(f"{self.name} needs a time index")
+            self.model = data.select(*keys, F.col(f"`{y}`").cast("double").alias(y))
+        elif self.spec.family == "baseline":
             self.model = self._baseline(data)
         elif self.spec.family == "k_neighbors":
             columns = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in features]
@@ -141,6 +147,8 @@ class Estimator:
         return {-v: n / total for n, v in counts}
 
     def predict(self, df: DataFrame) -> DataFrame:
+        if self.name in KERNELS:
+            return self._forecast(df)
         if self.spec.family == "baseline":
             if not isinstance(self.model, dict):
                 return df.withColumn("prediction", F.lit(self.model))
@@ -155,15 +163,47 @@ class Estimator:
             out = out.withColumn("probability", vector_to_array("probability"))
         return out.drop("features", "rawPrediction")
 
+    def _forecast(self, df: DataFrame) -> DataFrame:
+        """The rows in order of time are the steps after the training series' end."""
+        time, series = self.parameters["time_index"], self.parameters.get("series_id")
+        steps = df.withColumn("_step", F.row_number().over(series_window(time, series))) if series else numbered(df, "_step", time)
+        most = steps.agg(F.max("_step")).first()[0] or 1
+        p = {k: v for k, v in self.parameters.items() if k not in ("time_index", "series_id")}
+        got = forecast(self.model, self.y, time, int(most), self.name, series, **p).select(*([F.col(series).alias("_series")] if series else []), F.col("step").alias("_at"), "prediction")
+        same = F.col("_step") == F.col("_at")
+        return steps.join(got, same & F.col(series).eqNullSafe(F.col("_series")) if series else same, "left").drop("_step", "_at", "_series")
+
+    def stored(self, path: str) -> dict:
+        """What of the model is small, as JSON; the rest is written below the path."""
+        if hasattr(self.model, "write") and not isinstance(self.model, DataFrame):
+            self.model.write().overwrite().save(path)
+            return {"kind": "ml"}
+        if isinstance(self.model, DataFrame):
+            self.model.write.mode("overwrite").parquet(path)
+            return {"kind": "rows"}
+        if isinstance(self.model, np.ndarray):
+            return {"kind": "array", "values": self.model.tolist()}
+        return {"kind": "shares", "values": list(self.model.items())} if isinstance(self.model, dict) else {"kind": "value", "values": self.model}
+
+    def restore(self, spark, path: str, facts: dict) -> None:
+        from pyspark.ml.util import DefaultParamsReader
+
+        kind, values = facts["kind"], facts.get("values")
+        self.model = DefaultParamsReader.loadParamsInstance(path, spark.sparkContext) if kind == "ml" else spark.read.parquet(path) if kind == "rows" else np.array(values, dtype=float) if kind == "array" else dict(map(tuple, values)) if kind == "shares" else values
+
     def _vote(self, df: DataFrame) -> DataFrame:
         x, y, k = self.model[:, :-1], self.model[:, -1].astype(int), self.parameters["n_neighbors"]
         size = int(y.max()) + 1 if len(y) else 1
 
         @F.pandas_udf("array<double>")
         def shares(rows: pd.Series) -> pd.Series:
-            q = np.array(rows.tolist(), dtype=float)
-            near = np.argsort(((q[:, None, :] - x[None, :, :]) ** 2).sum(2), axis=1, kind="stable")[:, :k]
-            return pd.Series([np.bincount(y[n], minlength=size).astype(float) / max(len(n), 1) for n in near])
+            q, out = np.array(rows.tolist(), dtype=float), []
+            for at in range(0, len(q), 500):  # 500 rows by the reference rows at a time
+                part = q[at : at + 500]
+                d = sum((part[:, j, None] - x[None, :, j]) ** 2 for j in range(x.shape[1]))
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                out += [np.bincount(y[n], minlength=size).astype(float) / max(len(n), 1) for n in near]
+            return pd.Series(out)
 
         out = df.withColumn("probability", shares(F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in self.features])))
         return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))
@@ -175,6 +215,34 @@ class Estimator:
         return dict(sorted(zip(self.features, map(float, values), strict=False), key=lambda x: -abs(x[1])))
 
 
+def tree_intervals(est: Estimator, df: DataFrame, coverage: list[float] = (0.95,)) -> DataFrame:
+    """Bounds from the spread of a forest's trees: prediction plus or minus the normal quantile times their deviation.
+
+    Each tree's prediction is one more column of the same pass.
+    """
+    from statistics import NormalDist
+
+    if not hasattr(est.model, "trees"):
+        raise ValueError(f"{est.name} has no trees to compare")
+    out, names = vectors(df, est.features), []
+    for i, tree in enumerate(est.model.trees):
+        names.append(f"_tree_{i}")
+        out = tree.copy().setPredictionCol(names[-1]).transform(out)
+        out = out.drop(*[c for c in ("rawPrediction", "probability") if c in out.columns])
+    values = F.array(*names)
+    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / len(names)
+    out = out.withColumn("prediction", mean).withColumn("_sd", F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - F.col("prediction")) ** 2) / len(names)))
+    for c in coverage:
+        z = NormalDist().inv_cdf(0.5 + c / 2)
+        out = out.withColumns({f"{c}_lower": F.col("prediction") - z * F.col("_sd"), f"{c}_upper": F.col("prediction") + z * F.col("_sd")})
+    return out.drop("features", "_sd", *names)
+
+
+def unable_to_handle_nans(name: str) -> bool:
+    """Whether an estimator needs the imputer: Spark's learners refuse nulls, the series kernels and baselines do not."""
+    return ESTIMATORS[name].family not in ("baseline", "exponential_smoothing", "arima", "varmax", "prophet")
+
+
 def prediction_intervals(predicted: DataFrame, time_index: str, coverage: float = 0.95, series_id: str | None = None) -> DataFrame:
     """Prediction and rolling standard deviation of five rows times the normal quantile; the head takes the first known one."""
     from statistics import NormalDist
@@ -239,7 +307,12 @@ def piecewise_fourier(y: np.ndarray, horizon: int, changepoints: int = 5, period
     return x[n:] @ np.linalg.solve(a, x[:n].T @ y)
 
 
-KERNELS = {"ExponentialSmoothingRegressor": lambda y, h, p: holt_winters(y, h, p.get("sp", 2)), "ARIMARegressor": lambda y, h, p: autoregression(y, h, p.get("max_p", 5), p.get("d", 0)), "ProphetRegressor": lambda y, h, p: piecewise_fourier(y, h, p.get("changepoints", 5), p.get("period", 7))}
+def repeated(y: np.ndarray, horizon: int, lag: int) -> np.ndarray:
+    """The value ``lag`` steps earlier, over and over where that lies ahead."""
+    return np.resize(y[-lag:], horizon) if len(y) else np.full(horizon, np.nan)
+
+
+KERNELS = {"TimeSeriesBaselineEstimator": lambda y, h, p: repeated(y, h, p.get("gap", 0) + p.get("forecast_horizon", 1)), "MultiseriesTimeSeriesBaselineRegressor": lambda y, h, p: repeated(y, h, p.get("gap", 0) + p.get("forecast_horizon", 1)), "VARMAXRegressor": lambda y, h, p: autoregression(y, h, p.get("p", 1)), "ExponentialSmoothingRegressor": lambda y, h, p: holt_winters(y, h, p.get("sp", 2)), "ARIMARegressor": lambda y, h, p: autoregression(y, h, p.get("max_p", 5), p.get("d", 0)), "ProphetRegressor": lambda y, h, p: piecewise_fourier(y, h, p.get("changepoints", 5), p.get("period", 7))}
 
 
 def forecast(df: DataFrame, y: str, time_index: str, horizon: int, name: str, series_id: str | None = None, **parameters) -> DataFrame:

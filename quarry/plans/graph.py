@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry import schema
 from quarry.functions import metrics
-from quarry.operators import columns, encode, featurize, impute, sample, series  # noqa: F401 - registers components
+from quarry.operators import columns, decompose, encode, featurize, impute, sample, series  # noqa: F401 - registers components
 from quarry.operators.base import Component, component
 from quarry.plans import estimators as est
 from quarry.plans.profile import Action, Message, actions_of
@@ -116,6 +116,11 @@ class ComponentGraph:
     def describe(self) -> dict:
         return {n: {"component": self.steps[n][0] if isinstance(self.steps[n][0], str) else self.steps[n][0].__name__, "parameters": getattr(self.components.get(n), "parameters", {})} for n in self.order}
 
+    def dot(self) -> str:
+        """The graph in the DOT language."""
+        lines = [f'  "{n}" [shape=record, label="{n}|{facts["component"]}"];' for n, facts in self.describe().items()]
+        return "\n".join(["digraph components {", "  rankdir=LR;", *lines, *[f'  "{p}" -> "{n}";' for n, ps in self.edges.items() for p in ps], "}"])
+
     def graph_dict(self) -> dict:
         return {"nodes": self.describe(), "edges": [[p, n] for n, ps in self.edges.items() for p in ps]}
 
@@ -148,7 +153,7 @@ def preprocessing(df: DataFrame, y: str, problem: str, estimator: str, sampler:
     if "unknown" in kinds:
         out.append("DropColumns")
     out += [c for kind, c in (("url", "URLFeaturizer"), ("email", "EmailFeaturizer")) if kind in kinds]
-    if "datetime" in kinds and family not in ("arima", "prophet", "varmax"):
+    if "datetime" in kinds and family not in ("arima", "prophet", "varmax", "exponential_smoothing"):
         out.append("DateTimeFeaturizer")
     if "text" in kinds:
         out.append("NaturalLanguageFeaturizer")
@@ -221,6 +226,15 @@ class Pipeline:
     def describe(self) -> dict:
         return {"name": self.name, "problem": self.problem, "threshold": self.threshold, "components": self.graph.describe()}
 
+    def can_tune_threshold_with(self, objective: str) -> bool:
+        """Whether an objective asks for labels of two classes, so that a threshold decides them."""
+        o = metrics.objective(objective)
+        return self.problem.endswith("binary") and self.problem in o.problems and not o.needs_proba
+
+    def example(self, path: str) -> str:
+        """Python that builds the pipeline, fits it on a table, predicts and scores."""
+        return self.code() + f"\ndf = spark.read.parquet({path!r})\nfitted = pipeline.fit(df, {getattr(self, 'y', 'y')!r})\npredicted = fitted.predict(df)\nscores = fitted.score(df, {[metrics.default_objective(self.problem)]!r})\n"
+
     def code(self) -> str:
         """Python that builds the pipeline anew."""
         steps = {n: [p if isinstance(p, str) else p.__name__ for p in parts] for n, parts in self.graph.steps.items()}
@@ -235,14 +249,11 @@ class Pipeline:
         facts = {"problem": self.problem, "parameters": self.parameters, "name": self.name, "threshold": self.threshold, "key": self.graph.key, "y": self.y, "steps": {n: [p if isinstance(p, str) else p.__name__ for p in parts] for n, parts in self.graph.steps.items()}, "components": {n: c.to_json() for n, c in self.graph.components.items() if isinstance(c, Component)}}
         if isinstance(last, est.Estimator):
             facts["features"] = last.features
-            if hasattr(last.model, "write"):
-                last.model.write().overwrite().save(f"{path}/model")
+            facts["model"] = last.stored(f"{path}/model")
         spark.createDataFrame([(json.dumps(facts, default=str),)], "facts string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
 
     @staticmethod
     def load(spark, path: str) -> Pipeline:
-        from pyspark.ml.util import DefaultParamsReader
-
         facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
         out = Pipeline(ComponentGraph(facts["steps"], facts["key"]), facts["problem"], facts["parameters"], facts["name"])
         out.threshold, out.y = facts["threshold"], facts["y"]
@@ -250,9 +261,9 @@ class Pipeline:
             out.graph.components[n] = Component.from_json(text)
         last = out.graph.order[-1]
         if last not in out.graph.components:
-            model = est.Estimator(facts["steps"][last][0])
+            model = est.Estimator(facts["steps"][last][0], **facts["parameters"].get(last, {}))
             model.y, model.features = facts["y"], facts["features"]
-            model.model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark.sparkContext)
+            model.restore(spark, f"{path}/model", facts["model"])
             out.graph.components[last] = model
         return out
 
@@ -266,6 +277,8 @@ def make_pipeline(df: DataFrame, y: str, estimator: str, problem: str, parameter
         p.setdefault("DropColumns", {"columns": unknown})
     if sampler == "Undersampler" and key:
         p.setdefault("Undersampler", {"key": key})
+    if sampler == "Oversampler" and "Oversampler" not in p:
+        p["Oversampler"] = {}
     if "OneHotEncoder" in names:
         p.setdefault("OneHotEncoder", {"handle_missing": "as_category"})
     return Pipeline(linear_graph(names, key), problem, p, f"{estimator} w/ {' + '.join(names[:-1])}")

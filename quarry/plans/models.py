@@ -86,3 +86,19 @@ def cleaned_table(spark, sf_dir):
 def automl_search(spark, sf_dir):
     got = auto.AutoMLSearch(labelled(spark, sf_dir), "quality", "binary", "doc_id", estimators=["LogisticRegressionClassifier", "DecisionTreeClassifier"], n_splits=2).search()
     return got.rankings().select("pipeline_name", "mean_cv_score")
+
+
+@register("automl_ts")
+def automl_ts(spark, sf_dir):
+    """Rolling origins over the daily totals of all orders: a kernel for whole series beside learners on lags."""
+    from quarry.plans.timeseries import Horizon
+
+    daily = table(spark, sf_dir, "orders").groupBy(F.date_trunc("day", "o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("y"))
+    got = auto.AutoMLSearch(daily, "y", "time_series_regression", "d", horizon=Horizon("d", gap=0, max_delay=7, forecast_horizon=7), estimators=["LinearRegressor", "DecisionTreeRegressor", "ARIMARegressor", "ExponentialSmoothingRegressor", "ProphetRegressor"]).search()
+    return got.rankings().select("pipeline_name", "mean_cv_score")
+
+
+@register("automl_stack")
+def automl_stack(spark, sf_dir):
+    got = auto.AutoMLSearch(labelled(spark, sf_dir), "quality", "binary", "doc_id", estimators=["LogisticRegressionClassifier", "DecisionTreeClassifier"], n_splits=2, ensembling=True, max_batches=3).search()
+    return got.full_rankings().select("id", "pipeline_name", "batch", "mean_cv_score")

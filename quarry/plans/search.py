@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import itertools
 import time
-from concurrent.futures import ThreadPoolExecutor
+import json
+from concurrent.futures import Executor, Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,8 +17,10 @@ from quarry.functions import metrics
 from quarry.operators.sample import best_sampler, class_counts
 from quarry.operators.split import hashed_folds, make_splitter
 from quarry.plans import estimators as est
-from quarry.plans.graph import Pipeline, make_pipeline
+from quarry.plans.ensemble import StackedPipeline
+from quarry.plans.graph import ComponentGraph, Pipeline, make_pipeline
 from quarry.plans.profile import Message, default_checks
+from quarry.plans.timeseries import Horizon, TimeSeriesPipeline, baseline_pipeline, make_timeseries_pipeline, rolling_origins
 
 
 def _values(space, n: int) -> list:
@@ -147,6 +150,93 @@ class Progress:
         return True
 
 
+class SequentialEngine(Executor):
+    """Work is done at once, in the caller's thread."""
+
+    def submit(self, fn, /, *args, **kwargs) -> Future:
+        out: Future = Future()
+        try:
+            out.set_result(fn(*args, **kwargs))
+        except Exception as e:  # noqa: BLE001 - the future carries it
+            out.set_exception(e)
+        return out
+
+
+def engine(name: str, workers: int = 2) -> Executor:
+    """"sequential", or "threads": jobs of several pipelines are on the cluster at a time. Spark itself spreads each job's
+    work and keeps tables there, so engines need no other cluster."""
+    if name == "sequential":
+        return SequentialEngine()
+    if name in ("threads", "cf_threaded", "cluster"):
+        return ThreadPoolExecutor(workers)
+    raise ValueError(f"no engine {name!r}")
+
+
+def raise_error(error: Exception, pipeline: str) -> None:
+    raise error
+
+
+def silent(error: Exception, pipeline: str) -> None:
+    return None
+
+
+def log_error(error: Exception, pipeline: str) -> None:
+    import logging
+
+    logging.getLogger(__name__).warning("%s failed: %s", pipeline, str(error).splitlines()[0] if str(error) else type(error).__name__)
+
+
+class IterativeAlgorithm:
+    """Batches: every estimator with its defaults, then in turn tuned ones of the best, and an ensemble after each round of them."""
+
+    def __init__(self, names: list[str], tuner, seed: int = 0, per_batch: int = 3, ensembling: bool = False):
+        self.names, self.per_batch, self.ensembling, self.batch = list(names), per_batch, ensembling, 0
+        self.tuners = {e: tuner(est.ESTIMATORS[e].space, random_seed=seed) for e in names if e in est.ESTIMATORS and est.ESTIMATORS[e].space}
+
+    def next_batch(self, best: list[str]) -> list[tuple[str, dict]]:
+        """(estimator, parameters) to try; ("ensemble", {}) asks for one. ``best`` has the estimators by score."""
+        self.batch += 1
+        if self.batch == 1:
+            return [(e, {}) for e in self.names]
+        if self.ensembling and self.batch % 2 == 1:
+            return [("ensemble", {})] if len(best) > 1 else []
+        return self._tuned(best)
+
+    def _tuned(self, best: list[str]) -> list[tuple[str, dict]]:
+        out = []
+        for e in [e for e in best if e in self.tuners][: self.per_batch]:
+            try:
+                out.append((e, self.tuners[e].propose()))
+            except NoParamsLeft:
+                continue
+        return out
+
+    def add(self, name: str, parameters: dict, gain: float) -> None:
+        if parameters and name in self.tuners:
+            self.tuners[name].add(parameters, gain)
+
+
+class DefaultAlgorithm(IterativeAlgorithm):
+    """Batches: linear models and forests first, as they are fast; then the other estimators; then tuned ones and ensembles."""
+
+    FIRST = ("linear_model", "random_forest")
+
+    def next_batch(self, best: list[str]) -> list[tuple[str, dict]]:
+        first = [e for e in self.names if est.ESTIMATORS[e].family in self.FIRST] or self.names
+        rest = [e for e in self.names if e not in first]
+        self.batch += 1
+        if self.batch == 1:
+            return [(e, {}) for e in first]
+        if self.batch == 2 and rest:
+            return [(e, {}) for e in rest]
+        if self.ensembling and self.batch % 2 == 0:
+            return [("ensemble", {})] if len(best) > 1 else []
+        return self._tuned(best)
+
+
+ALGORITHMS = {"iterative": IterativeAlgorithm, "default": DefaultAlgorithm}
+
+
 @dataclass
 class Result:
     id: int
@@ -172,16 +262,20 @@ class Result:
 
 
 class AutoMLSearch:
-    """Batches of pipelines: first every allowed estimator with defaults, then tuned ones of the best, then an ensemble.
+    """Batches of pipelines as an algorithm plans them: defaults, tuned ones, and ensembles if asked for.
 
-    Folds are a column of one cached table, and a thread pool keeps several Spark jobs in flight.
+    Folds are a column of one cached table, or rolling origins of a series, in which no training row is later than a test
+    row. An engine keeps several Spark jobs in flight.
     """
 
-    def __init__(self, df: DataFrame, y: str, problem: str, key: str, objective: str = "auto", families: list[str] | None = None, excluded: list[str] | None = None, estimators: list[str] | None = None, n_splits: int = 3, max_batches: int = 1, max_iterations: int | None = None, max_seconds: float | None = None, patience: int | None = None, tolerance: float = 0.0, parallel: int = 2, parameters: dict | None = None, tuner=BayesianTuner, random_seed: int = 0, on_error: str = "log"):
+    def __init__(self, df: DataFrame, y: str, problem: str, key: str, objective: str = "auto", families: list[str] | None = None, excluded: list[str] | None = None, estimators: list[str] | None = None, n_splits: int = 3, max_batches: int = 1, max_iterations: int | None = None, max_seconds: float | None = None, patience: int | None = None, tolerance: float = 0.0, parallel: int = 2, parameters: dict | None = None, tuner=BayesianTuner, random_seed: int = 0, on_error: str = "log", horizon: Horizon | None = None, ensembling: bool = False, algorithm: str = "iterative", engine_name: str = "threads", tune_threshold: bool = False, error_callback=log_error, after_result=None):
         self.df, self.y, self.problem, self.key = df, y, problem, key
         self.objective = metrics.objective(metrics.default_objective(problem) if objective == "auto" else objective)
         self.names = estimators or est.estimators_for(problem, families, excluded)
         self.n_splits, self.parallel, self.parameters, self.tuner, self.seed, self.on_error = n_splits, parallel, parameters or {}, tuner, random_seed, on_error
+        if "time_series" in problem and horizon is None:
+            raise ValueError("a time-series search needs a horizon")
+        self.horizon, self.ensembling, self.algorithm, self.engine_name, self.tune_threshold, self.callback, self.after_result = horizon, ensembling, algorithm, engine_name, tune_threshold, error_callback, after_result
         self.progress = Progress(max_seconds, max_iterations, max_batches, patience, tolerance)
         self.results: list[Result] = []
         self.errors: list[tuple[str, str]] = []
@@ -190,59 +284,154 @@ class AutoMLSearch:
         n = self.df.count()
         sampler = None
         if "regression" not in self.problem:
-            chosen = best_sampler(n, class_counts(self.df, self.y))
-            sampler = chosen if chosen == "Undersampler" else None
-        plan = make_splitter(n, self.problem, self.n_splits)
-        folds = 4 if plan["kind"] == "single" else self.n_splits
-        self.tested = [0] if plan["kind"] == "single" else list(range(folds))
-        table = hashed_folds(self.df, self.key, folds, self.seed).persist()
-        tuners = {e: self.tuner(est.ESTIMATORS[e].space, random_seed=self.seed) for e in self.names if est.ESTIMATORS[e].space}
-        batch, counter = 0, itertools.count()
+            sampler = best_sampler(n, class_counts(self.df, self.y))
+        self.sampler, plan = sampler, make_splitter(n, self.problem, self.n_splits)
+        table = None
+        if plan["kind"] == "time_series":
+            series = self.df.select(self.horizon.series_id).distinct().count() if self.horizon.series_id else 1
+            self.pairs = rolling_origins(self.df, self.horizon, self.n_splits, series)
+        else:
+            single = plan["kind"] == "single"
+            folds = 4 if single else self.n_splits
+            table = hashed_folds(self.df, self.key, folds, self.seed).persist()
+            part = lambda c: table.where(c).drop("fold")
+            self.pairs = [(part(F.col("fold") == 0), part(F.col("fold") != 0))] if single else [(part(F.col("fold") != k), part(F.col("fold") == k)) for k in range(folds)]
+        plans = ALGORITHMS[self.algorithm](self.names, self.tuner, self.seed, ensembling=self.ensembling)
+        batch, counter = 0, itertools.count(len(self.results))
         while self.progress.go_on(len(self.results), batch, [self._gain(r) for r in self.results]):
-            work = [(e, {}) for e in self.names] if batch == 0 else [(e, tuners[e].propose()) for e in self._best_estimators(3) if e in tuners]
+            work = plans.next_batch(self._best_estimators(len(self.names)))
             if not work:
                 break
-            with ThreadPoolExecutor(self.parallel) as pool:
-                done = list(pool.map(lambda w, b=batch: self._evaluate(next(counter), w[0], w[1], table, sampler, b), work))
+            with engine(self.engine_name, self.parallel) as pool:
+                done = list(pool.map(lambda w, b=batch: self._evaluate(next(counter), w[0], w[1], b), work))
             for (e, p), r in zip(work, done, strict=True):
                 if r is not None:
                     self.results.append(r)
-                    if p:
-                        tuners[e].add(p, self._gain(r))
+                    plans.add(e, p, self._gain(r))
+                    if self.after_result:
+                        self.after_result(r, self)
             batch += 1
-        table.unpersist()
+        if table is not None:
+            table.unpersist()
         return self
 
     def _gain(self, r: Result) -> float:
         return r.mean_cv_score if self.objective.greater_is_better else -r.mean_cv_score
 
     def _best_estimators(self, k: int) -> list[str]:
-        ranked = sorted(self.results, key=lambda r: -self._gain(r) if self._gain(r) == self._gain(r) else float("inf"))
-        return list(dict.fromkeys(r.pipeline.graph.order[-1] for r in ranked))[:k]
-
-    def _evaluate(self, i: int, name: str, parameters: dict, table: DataFrame, sampler: str | None, batch: int) -> Result | None:
-        began = time.time()
+        return list(dict.fromkeys(r.pipeline.graph.order[-1] for r in self._ranked()))[:k]
+
+    def _ranked(self) -> list[Result]:
+        single = [r for r in self.results if not isinstance(r.pipeline, StackedPipeline) and r.cv_scores]
+        return sorted(single, key=lambda r: -self._gain(r) if self._gain(r) == self._gain(r) else float("inf"))
+
+    def ensemble_inputs(self, k: int = 3) -> list[Pipeline]:
+        """The best pipeline of each of the k best estimators, which an ensemble would be built from."""
+        best: dict[str, Pipeline] = {}
+        for r in self._ranked():
+            best.setdefault(r.pipeline.graph.order[-1], r.pipeline)
+        return list(best.values())[:k]
+
+    def make(self, name: str, parameters: dict | None = None) -> Pipeline | StackedPipeline:
+        """The pipeline that the search tries for an estimator and parameters."""
+        if name == "ensemble":
+            return StackedPipeline([p.clone() for p in self.ensemble_inputs()], self.problem, self.key)
+        p = {**self.parameters, name: self.parameters.get(name, {}) | (parameters or {})}
+        if self.horizon:
+            return make_timeseries_pipeline(self.df, self.y, name, self.problem, self.horizon, p)
+        return make_pipeline(self.df, self.y, name, self.problem, p, getattr(self, "sampler", None), self.key)
+
+    def _evaluate(self, i: int, name: str, parameters: dict, batch: int) -> Result | None:
         try:
-            base = table.drop("fold")
-            p = {**self.parameters, name: self.parameters.get(name, {}) | parameters}
-            pipeline = make_pipeline(base, self.y, name, self.problem, p, sampler, self.key)
-            wanted = [self.objective.name]
-            cv, other, errors = [], {}, {}
-            for k in self.tested:
-                fitted = pipeline.clone().fit(table.where(F.col("fold") != k).drop("fold") if len(self.tested) > 1 else table.where(F.col("fold") == 0).drop("fold"), self.y)
-                test = table.where(F.col("fold") == k).drop("fold") if len(self.tested) > 1 else table.where(F.col("fold") != 0).drop("fold")
-                got = fitted.score(test, wanted)
-                errors |= got.errors
-                if self.objective.name in got.values:
-                    cv.append(got.values[self.objective.name])
-                other = got.values
-            return Result(i, fitted, batch, cv, other, errors, time.time() - began)
+            return self._result(i, self.make(name, parameters), batch)
         except Exception as e:  # noqa: BLE001 - one pipeline's failure must not end the search
             if self.on_error == "raise":
                 raise
-            self.errors.append((name, str(e).splitlines()[0]))
+            self.errors.append((name, str(e).splitlines()[0] if str(e) else type(e).__name__))
+            self.callback(e, name)
             return None
 
+    def _result(self, i: int, pipeline: Pipeline | StackedPipeline, batch: int) -> Result:
+        """Scores over all folds; the last fitted pipeline stays in the result."""
+        began, cv, other, errors, fitted = time.time(), [], {}, {}, pipeline
+        for train, test in self.pairs:
+            fitted = pipeline.clone().fit(train, self.y)
+            if self.tune_threshold and isinstance(fitted, Pipeline) and fitted.can_tune_threshold_with(self.objective.name):
+                fitted.optimize_threshold(train, self.objective.name)
+            got = fitted.score(test, [self.objective.name], train) if isinstance(fitted, TimeSeriesPipeline) else fitted.score(test, [self.objective.name])
+            errors |= got.errors
+            if self.objective.name in got.values:
+                cv.append(got.values[self.objective.name])
+            other = got.values
+        return Result(i, fitted, batch, cv, other, errors, time.time() - began)
+
+    def threshold_tuning(self, pipeline: Pipeline) -> tuple[bool, str]:
+        """Whether thresholds are tuned for a pipeline, and the objective that decides."""
+        return self.tune_threshold and pipeline.can_tune_threshold_with(self.objective.name), self.objective.name
+
+    def add_to_rankings(self, pipeline: Pipeline) -> Result:
+        """Score a pipeline of the user's own over the search's folds and rank it with the others."""
+        if not getattr(self, "pairs", None):
+            raise ValueError("search first")
+        if any(r.pipeline.name == pipeline.name and getattr(r.pipeline, "parameters", None) == pipeline.parameters for r in self.results):
+            raise ValueError(f"{pipeline.name} with these parameters is ranked already")
+        out = self._result(len(self.results), pipeline, -1)
+        self.results.append(out)
+        return out
+
+    def train_pipelines(self, pipelines: list[Pipeline]) -> dict[str, Pipeline]:
+        """Pipelines fitted on the whole table, by name."""
+        unique_names(pipelines)
+        with engine(self.engine_name, self.parallel) as pool:
+            return dict(zip([p.name for p in pipelines], pool.map(lambda p: p.clone().fit(self.df, self.y), pipelines), strict=True))
+
+    def score_pipelines(self, pipelines: list[Pipeline], df: DataFrame, objectives: list[str]) -> dict[str, dict[str, float]]:
+        """Scores of fitted pipelines on a table, by name."""
+        unique_names(pipelines)
+        with engine(self.engine_name, self.parallel) as pool:
+            return dict(zip([p.name for p in pipelines], pool.map(lambda p: p.score(df, objectives).values, pipelines), strict=True))
+
+    def recommendation_scores(self, objectives: list[str], prioritized: str | None = None) -> DataFrame:
+        """Each ranked pipeline's recommendation score, from its scores on the last fold."""
+        rows = []
+        for r in self.results:
+            train, test = self.pairs[-1]
+            got = r.pipeline.score(test, objectives, train) if isinstance(r.pipeline, TimeSeriesPipeline) else r.pipeline.score(test, objectives)
+            rows.append((r.id, *[got.values.get(o) for o in objectives]))
+        table = self.df.sparkSession.createDataFrame(rows, "id int, " + ", ".join(f"{o} double" for o in objectives))
+        return metrics.recommendation(table, objectives, "id", prioritized)
+
+    def best_so_far(self) -> list[tuple[int, float, float]]:
+        """(iteration, score, best score until then): what a plot of the search would draw."""
+        out, best = [], None
+        for i, r in enumerate(self.results):
+            s = r.mean_cv_score
+            if s == s and (best is None or (s > best) == self.objective.greater_is_better):
+                best = s
+            out.append((i, s, best))
+        return out
+
+    def save(self, path: str) -> None:
+        """Results below one path: facts as JSON, and each fitted pipeline that is not an ensemble."""
+        spark = self.df.sparkSession
+        facts = [{"id": r.id, "batch": r.batch, "cv": r.cv_scores, "scores": r.scores, "errors": r.errors, "seconds": r.seconds, "name": r.pipeline.name, "stored": isinstance(r.pipeline, Pipeline) and not isinstance(r.pipeline, TimeSeriesPipeline)} for r in self.results]
+        for r, f in zip(self.results, facts, strict=True):
+            if f["stored"]:
+                r.pipeline.save(f"{path}/pipeline-{r.id}")
+        options = {"y": self.y, "problem": self.problem, "key": self.key, "objective": self.objective.name, "names": self.names, "results": facts}
+        spark.createDataFrame([(json.dumps(options),)], "facts string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+    @staticmethod
+    def load(df: DataFrame, path: str) -> AutoMLSearch:
+        """The search with its results, on a table to go on with; pipelines that were not stored have their names only."""
+        spark = df.sparkSession
+        facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+        out = AutoMLSearch(df, facts["y"], facts["problem"], facts["key"], facts["objective"], estimators=facts["names"])
+        for f in facts["results"]:
+            pipeline = Pipeline.load(spark, f"{path}/pipeline-{f['id']}") if f["stored"] else Pipeline(ComponentGraph({}), facts["problem"], {}, f["name"])
+            out.results.append(Result(f["id"], pipeline, f["batch"], f["cv"], f["scores"], f["errors"], f["seconds"]))
+        return out
+
     def full_rankings(self) -> DataFrame:
         rows = [(r.id, r.pipeline.name, r.batch, r.mean_cv_score, r.high_variance(self.objective), r.seconds) for r in self.results]
         t = self.df.sparkSession.createDataFrame(rows, "id int, pipeline_name string, batch int, mean_cv_score double, high_variance_cv boolean, seconds double")
@@ -260,6 +449,23 @@ class AutoMLSearch:
         return r.pipeline.describe() | {"cv_scores": r.cv_scores, "scores": r.scores, "errors": r.errors, "seconds": r.seconds}
 
 
+def unique_names(pipelines: list[Pipeline]) -> None:
+    names = [p.name for p in pipelines]
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"pipelines share the names {twice}")
+
+
+def pipelines_of(graphs: dict[str, dict[str, list]], problem: str, key: str | None = None, parameters: dict | None = None) -> list[Pipeline]:
+    """Pipelines from component graphs by name."""
+    return [Pipeline(ComponentGraph(steps, key), problem, {n: (parameters or {})[n] for n in steps if n in (parameters or {})}, name) for name, steps in graphs.items()]
+
+
+def search_iterative(df: DataFrame, y: str, problem: str, key: str, **options) -> tuple[AutoMLSearch | None, list[Message]]:
+    """:func:`search` by the iterative algorithm."""
+    return search(df, y, problem, key, **options | {"algorithm": "iterative"})
+
+
 def search(df: DataFrame, y: str, problem: str, key: str, **options) -> tuple[AutoMLSearch | None, list[Message]]:
     """Data checks, then a search; errors of the checks stop it."""
     messages = default_checks(df.drop(key), y, problem, options.pop("problem_configuration", None))

@@ -69,10 +69,13 @@ def impute_target(spark, sf_dir):
     return impute.TargetImputer().fit(e, "event_type").transform(e).select("event_id", "event_type")
 
 
-@register("impute_knn")
+_KNN = "(select l_quantity, case when l_returnflag <> 'R' then l_extendedprice end as p, l_discount from lineitem)"
+
+
+@register("impute_knn", f"with q as (select distinct l_quantity, l_discount from {_KNN} a where p is null), r as (select q.l_quantity, q.l_discount, k.p, row_number() over (partition by q.l_quantity, q.l_discount order by ((q.l_quantity - k.l_quantity) * (q.l_quantity - k.l_quantity) + (q.l_discount - k.l_discount) * (q.l_discount - k.l_discount)) / 2, k.p) as i from q, {_KNN} k where k.p is not null), m as (select l_quantity, l_discount, avg(p) as m from r where i <= 3 group by 1, 2) select a.l_quantity, round(coalesce(a.p, m.m), 3) as l_extendedprice, a.l_discount from {_KNN} a left join m using (l_quantity, l_discount)")
 def impute_knn(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_quantity", F.when(F.col("l_shipmode") != "AIR", F.col("l_extendedprice")).alias("l_extendedprice"), "l_discount")
-    return impute.KNNImputer().fit(li).transform(li)
+    li = table(spark, sf_dir, "lineitem").select("l_quantity", F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice")).alias("l_extendedprice"), "l_discount")
+    return impute.KNNImputer().fit(li).transform(li).withColumn("l_extendedprice", F.round("l_extendedprice", 3))
 
 
 _SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
