@@ -31,7 +31,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from quarry.plans import checks, models, scores, transforms  # noqa: F401
+    from quarry.plans import checks, models, more, scores, transforms  # noqa: F401
     from quarry.streaming import profile  # noqa: F401
 
 
