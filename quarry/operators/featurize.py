@@ -96,15 +96,24 @@ def clean_text(c: Column) -> Column:
 
 
 def text_features(c: Column) -> dict[str, Column]:
-    """Words, characters, share of distinct words and mean word length of the normalised text; null for null texts."""
-    words = F.filter(F.split(clean_text(c), r"\s+"), lambda w: w != "")
-    n = F.nullif(F.size(words), F.lit(0))
-    return {
-        "num_words": F.when(c.isNotNull(), F.size(words)),
-        "num_characters": F.when(c.isNotNull(), F.length(clean_text(c))),
-        "diversity_score": F.when(c.isNotNull(), F.coalesce(F.size(F.array_distinct(words)) / n, F.lit(0.0))),
-        "mean_characters_per_word": F.when(c.isNotNull(), F.coalesce(F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / n, F.lit(0.0))),
-    }
+    """Words, characters, share of distinct words and mean word length of the normalised text; null for null texts.
+
+    All come from one struct, whose text is cleaned and split once a row.
+    """
+    plain = clean_text(c)
+
+    def measured(x: Column) -> Column:
+        words = F.filter(x["w"], lambda w: w != "")
+        n = F.nullif(F.size(words), F.lit(0))
+        return F.struct(
+            F.size(words).alias("num_words"),
+            F.length(x["t"]).alias("num_characters"),
+            F.coalesce(F.size(F.array_distinct(words)) / n, F.lit(0.0)).alias("diversity_score"),
+            F.coalesce(F.length(F.array_join(words, "")) / n, F.lit(0.0)).alias("mean_characters_per_word"),
+        )
+
+    one = F.element_at(F.transform(F.array(F.struct(plain.alias("t"), F.split(plain, r"\s+").alias("w"))), measured), 1)
+    return {k: F.when(c.isNotNull(), one[k]) for k in ("num_words", "num_characters", "diversity_score", "mean_characters_per_word")}
 
 
 #: A small lexicon of words that praise or blame.

@@ -160,17 +160,17 @@ _PUNCTUATION = featurize.PUNCTUATION.replace("'", "''")
 _WORDS = f"list_filter(string_split_regex(lower(translate(text, '{_PUNCTUATION}', '')), '\\s+'), lambda w: w <> '')"
 
 
-@register("text_features", f"select doc_id, len({_WORDS})::integer as num_words, round(len(list_distinct({_WORDS})) * 1.0 / nullif(len({_WORDS}), 0), 6) as diversity from documents")
+@register("text_features", f"select doc_id, len({_WORDS})::integer as num_words, round(len(list_distinct({_WORDS})) * 1.0 / nullif(len({_WORDS}), 0), 6) as diversity, length(lower(translate(text, '{_PUNCTUATION}', '')))::integer as num_characters, round(length(array_to_string({_WORDS}, '')) * 1.0 / nullif(len({_WORDS}), 0), 6) as word_length from documents")
 def text_features(spark, sf_dir):
     f = featurize.text_features(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", f["num_words"].alias("num_words"), F.round(f["diversity_score"], 6).alias("diversity"))
+    return table(spark, sf_dir, "documents").select("doc_id", f["num_words"].alias("num_words"), F.round(f["diversity_score"], 6).alias("diversity"), f["num_characters"].alias("num_characters"), F.round(f["mean_characters_per_word"], 6).alias("word_length"))
 
 
 @register("lsa")
 def lsa(spark, sf_dir):
     from quarry import schema
 
-    c = schema.tagged(table(spark, sf_dir, "benchmark").select("item_id", "text"), {"text": "text"})
+    c = schema.tagged(table(spark, sf_dir, "documents").select("doc_id", "text"), {"text": "text"})
     return featurize.LSA(num_features=256).fit(c).transform(c)
 
 
