@@ -6,7 +6,8 @@ turns ids back into bytes by the reversed byte table; a character whose bytes ar
 the bytes are joined, and in offsets each such token covers that character.
 
 Nulls count as empty texts (0 tokens); repeated rows are encoded each for itself; extra columns are kept where the
-operator returns its input's columns. Output columns that would clash with input columns replace them.
+operator returns its input's columns. Output columns that would clash with input columns replace them. Texts are encoded
+whole, one at a time, however long. An empty table gives an empty result, and an empty histogram.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ fixed size (2**BITS numbers) and are broadcast; scoring is one pass over Arrow b
 
 Null URLs and those without ``://`` have empty hosts and paths; no rule fits them and the regression judges the empty
 strings. Without labelled rows, or with one class only, everything gets that class (allow without any). Repeated rows
-are judged each for itself; extra columns stay.
+are judged each for itself; extra columns stay, but for those named like results, which are replaced. URLs are read
+whole, however long. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,16 +76,20 @@ def grams(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray, n
 
 
 def fit(hosts: list[str], paths: list[str], blocked: np.ndarray, steps: int = 80, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated full-batch gradient steps; the same rows give the same weights."""
+    """Weights and intercept by accelerated full-batch gradient steps; the same rows give the same weights.
+
+    Both classes weigh alike, so that the verdict on what no rule decides does not lean to the more frequent one.
+    """
     w, b = np.zeros(1 << BITS), 0.0
     y = np.asarray(blocked, dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return w, (20.0 if len(y) and y[0] else -20.0)
     row, bucket, value = grams(hosts, paths)
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     v, vb, last, last_b = w.copy(), b, w, b
     for t in range(steps):
         z = np.bincount(row, value * v[bucket], minlength=len(y)) + vb
-        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         new = v - 4.0 * (np.bincount(bucket, value * gap[row], minlength=len(w)) * 1.0 + l2 / len(y) * v)
         new_b = vb - 2.0 * gap.sum()
         m = t / (t + 3)

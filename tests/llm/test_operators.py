@@ -112,6 +112,37 @@ def test_url_model_learns():
     assert z[0] > 0 > z[1]
 
 
+def url_rule(url):
+    """(host, path, rule) by the contract."""
+    rest = url.partition("://")[2] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [r for r in urls.RULES if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+    return host, path, max(fits, key=len, default=None)
+
+
+def test_url_query(spark, tmp_path):
+    """Hosts, paths, rules and their verdicts by definition; the model agrees with rules that it has not seen."""
+    import random
+    import zlib
+
+    rng = random.Random(6)
+    rows = [f"http{'s' * (i % 2)}://{rng.choice(['www.', 'm.', 'Blog.', ''])}w{rng.randrange(60)}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'de', 'fr', 'es'])}/{i}{rng.choice(['', '?p=1', '#top', '/'])}" for i in range(1500)]
+    rows += [None, "", "no scheme", "http://", "x://" + "a" * 20000 + ".com/" + "b" * 20000, "http://a.com/\n/en", rows[0], rows[0]]
+    spark.createDataFrame(list(enumerate(rows)), "page_id int, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in urls.op2_url_filters(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, u in enumerate(rows):
+        assert (got[i].host, got[i].path, got[i].rule) == url_rule(u) and got[i].verdict in ("allow", "block")
+        assert got[i].rule is None or got[i].verdict == urls.RULES[got[i].rule]
+    known = [(u, urls.RULES[url_rule(u)[2]], zlib.crc32(u.encode()) % 5 == 0) for u in rows[:1500] if url_rule(u)[2]]
+    labelled = spark.createDataFrame([(u, v) for u, v, held in known if not held], "url string, verdict string")
+    out = urls.judge(spark.createDataFrame([(u, v) for u, v, held in known if held], "url string, want string"), rules={}, labelled=labelled)
+    hits = [r.verdict == r.want for r in out.collect()]
+    assert len(hits) > 100 and sum(hits) / len(hits) > 0.97
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -540,6 +571,86 @@ def test_small_nodes_and_grid(spark, docs, monkeypatch):
     assert Counter((r.doc_id, r.component_id) for r in minhash.components(df).collect()) == want
 
 
+def test_minhash_recall_with_branching(spark):
+    """Pairs at the least similarity inside nodes that branch: a passage that all texts share makes every node large."""
+    import random
+
+    rng = random.Random(9)
+    shared = " ".join(f"s{i}" for i in range(110))
+    rows, pairs = [], []
+    for i in range(400):  # 25 words of each text's own beside the shared ones: other texts reach a similarity of 0.70 at most
+        own = [f"o{i}x{j}" for j in range(40)]
+        near = list(own)
+        near[rng.randrange(4, 36)] = f"n{i}"
+        rows += [(2 * i, f"{shared} {' '.join(own)}"), (2 * i + 1, f"{shared} {' '.join(near)}")]
+    sets = dict(shingle_sets([(d, t) for d, t in rows]))
+    pairs = [(2 * i, 2 * i + 1) for i in range(400)]
+    assert all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in pairs)
+    other = 100 * len(sets[0] & sets[2]) / len(sets[0] | sets[2])
+    assert other < 75
+    calls, branched = [], minhash.branched
+    minhash.branched = lambda *a: calls.append(1) or branched(*a)
+    try:
+        got = {r.doc_id: r.component_id for r in minhash.components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    finally:
+        minhash.branched = branched
+    assert calls and sum(got[a] == got[b] for a, b in pairs) / len(pairs) > 0.95
+    assert all(got[b] in (a, b) for a, b in pairs)
+
+
+def test_queries_against_brute_force(spark, docs, tmp_path):
+    """The query functions of operators 4, 5, 8, 9 and 10 return what their operators' oracles give, on whole rows."""
+    import hashlib
+
+    import tiktoken
+
+    rows = documents()
+    gone = line_oracle([(r[0], r[1]) for r in rows])
+    for r in line_dedup.op4_line_dedup(spark, docs).collect():
+        if r.doc_id is not None:
+            text = rows[r.doc_id][1]
+            want = sorted(gone.get((r.doc_id, text), ()))
+            assert (r.deleted, r.n_deleted, r.n_lines) == (want, len(want), len([x for x in (text or "").split("\n") if x.encode().split()]))
+            assert r.text_sha256 == hashlib.sha256(line_dedup.cleaned(text or "", want)[0].encode() if want else (text or "").encode()).hexdigest()
+    null = [r for r in line_dedup.op4_line_dedup(spark, docs).collect() if r.doc_id is None]
+    assert sorted(r.n_deleted for r in null) == sorted(len(gone.get((None, t), ())) for d, t, *_ in rows if d is None)
+
+    import public_tokenizers as public
+    from tiktoken.load import load_tiktoken_bpe
+
+    model = tiktoken.Encoding("t", pat_str=public.PATTERN, mergeable_ranks=load_tiktoken_bpe(public.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    lengths, want = Counter(), Counter()
+    for d, t, _, source, _ in rows:
+        ids = model.encode_ordinary(t or "")
+        lengths[False, source, len(ids)] += 1
+        lengths[True, None, len(ids)] += 1
+        want[d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.op5_byte_bpe(spark, docs).collect()) == want
+    histogram = byte_bpe.op8_token_counts(spark, docs).collect()
+    assert {(r.whole, r.scope, r.length): r.n_docs for r in histogram} == dict(lengths)
+    for r in histogram:
+        mine = [(n, k) for (whole, scope, n), k in lengths.items() if (whole, scope) == (r.whole, r.scope)]
+        assert r.n_above == sum(k for n, k in mine if n > r.length) and r.n_up_to == sum(k for n, k in mine if n <= r.length)
+        assert r.total_tokens == sum(n * k for n, k in mine) and r.truncated_tokens == sum(min(n, r.length) * k for n, k in mine)
+
+    sets = shingle_sets(rows)
+    got = minhash.op10_minhash(spark, docs).collect()
+    assert Counter((r.doc_id, r.n_shingles) for r in got) == Counter((d, len(s)) for d, s in sets) and all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+    vectors = [(i, [float(i % 7 == j) + 0.01 * (i % 3) for j in range(8)], i % 2) for i in range(60)] + [(60, None, 1), (61, [0.0] * 8, 1), (61, [1.0] * 8, None)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    import numpy as np
+
+    stored = [(i, None if v is None else np.array(v, dtype=np.float32).astype(float), y) for i, v, y in vectors]
+    cos = lambda v, w: v @ w / np.linalg.norm(v) / np.linalg.norm(w)
+    for r in embeddings.op9_embeddings(spark, str(tmp_path)).collect():
+        if r.vec_id < 60:
+            _, v, y = stored[r.vec_id]
+            assert r.n_links == sum(1 for j, w, z in stored if j != r.vec_id and z == y and w is not None and w.any() and cos(v, w) >= 0.98)
+        else:
+            assert (r.n_links, r.component_id, r.kept) == (0, r.vec_id, True)
+
+
 # pipeline ----------------------------------------------------------------------------------------------------------
 
 
