@@ -12,6 +12,8 @@ an interval the first run by (doc_id, line) stays and the lines of the others ar
 
 Null texts count as empty. Null ids are ordered last. Rows that repeat an id and its text are one document: all are
 treated alike. Ties and overlaps within a text follow the same order, so the first of two equal runs in a text stays.
+Texts are read whole, however long; an empty table gives an empty result. Other columns stay, but for ``n_lines`` and
+``gone``, which are replaced. Lines and rows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from quarry.llm import common
 
 #: Least number of words of a run that is deleted where it occurs again.
 MIN_WORDS = 50
-#: A hot interval's members are dealt over so many tasks where they get their rank.
-SALTS = 16
+#: Intervals of more members than this, and than one part in MOST_HOT of all, get their rank by a broadcast of theirs.
+HOT, MOST_HOT = 2000, 20_000
 
 
 def content_key(doc_id: str, text: str):
@@ -69,15 +71,22 @@ def line_table(df: DataFrame, min_words: int) -> DataFrame:
 
 
 def ranked(members: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """(rk, pos, r) of the members whose keys occur twice or more; r has the order of the keys over all partitions."""
-    classes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    """(rk, pos, r) of the members whose keys occur twice or more; r has the order of the keys over all partitions.
+
+    Members of hot keys take their rank from a broadcast table of MOST_HOT rows at most, and pass the join for the others
+    spread over all of its tasks.
+    """
+    classes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     order = common.written(classes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), f"{tag}-order")
-    copies = order.toDF(*[f"k_{k}" for k in keys], "rank").withColumn("s_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = members.withColumn("s", F.pmod(F.xxhash64("rk", "pos"), F.lit(SALTS)).cast("int"))
-    same = F.col("s") == F.col("s_")
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"k_{k}"))
-    out = common.written(dealt.join(copies, same).select("rk", "pos", F.col("rank").alias("r")), tag)
+    least = max(HOT, (order.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    named = lambda df, k: df.select(*[F.col(c).alias(f"{k}_{c}") for c in keys], F.col("rank").alias(k))
+    hot, cold = named(order.where(F.col("n") > least), "hot"), named(order.where(F.col("n") <= least), "cold")
+    same = lambda k: [F.col(c) == F.col(f"{k}_{c}") for c in keys]
+    known = members.join(F.broadcast(hot), same("hot"), "left")  # at most MOST_HOT rows
+    dealt = known.withColumn("s", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("rk", "pos"), F.lit(1 << 20)) + 1).otherwise(0))
+    joined = dealt.join(cold.withColumn("s_", F.lit(0)).hint("merge"), [*same("cold"), F.col("s") == F.col("s_")], "left")
+    out = joined.select("rk", "pos", F.coalesce("hot", "cold").alias("r")).where("r is not null")
+    out = common.written(out, tag)
     common.release(order)
     return out
 
