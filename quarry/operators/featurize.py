@@ -95,10 +95,13 @@ def clean_text(c: Column) -> Column:
     return F.lower(F.translate(c, PUNCTUATION, ""))
 
 
-def text_features(c: Column) -> dict[str, Column]:
+TEXT_FEATURES = ("num_words", "num_characters", "diversity_score", "mean_characters_per_word")
+
+
+def text_features(c: Column) -> Column:
     """Words, characters, share of distinct words and mean word length of the normalised text; null for null texts.
 
-    All come from one struct, whose text is cleaned and split once a row.
+    They come as one struct, so that the text is cleaned and split once a row: make it a column, then take its fields.
     """
     plain = clean_text(c)
 
@@ -113,7 +116,7 @@ def text_features(c: Column) -> dict[str, Column]:
         )
 
     one = F.element_at(F.transform(F.array(F.struct(plain.alias("t"), F.split(plain, r"\s+").alias("w"))), measured), 1)
-    return {k: F.when(c.isNotNull(), one[k]) for k in ("num_words", "num_characters", "diversity_score", "mean_characters_per_word")}
+    return F.when(c.isNotNull(), one)
 
 
 #: A small lexicon of words that praise or blame.
@@ -132,11 +135,10 @@ class NaturalLanguageFeaturizer(Component):
         return {"columns": [c for c in schema.of_type(df, "text") if c != y]}
 
     def transform(self, df: DataFrame) -> DataFrame:
-        new = {}
-        for c in self.learnt()["columns"]:
-            col = F.col(f"`{c}`")
-            new |= {f"{name.upper()}({c})": value for name, value in text_features(col).items()} | {f"POLARITY_SCORE({c})": polarity(col)}
-        return df.withColumns(new).drop(*self.learnt()["columns"])
+        names = self.learnt()["columns"]
+        held = df.withColumns({f"_text_{i}": text_features(F.col(f"`{c}`")) for i, c in enumerate(names)})
+        new = {f"{name.upper()}({c})": F.col(f"_text_{i}.{name}") for i, c in enumerate(names) for name in TEXT_FEATURES} | {f"POLARITY_SCORE({c})": polarity(F.col(f"`{c}`")) for c in names}
+        return held.withColumns(new).drop(*names, *[f"_text_{i}" for i in range(len(names))])
 
 
 class LSA(Component):

@@ -162,8 +162,8 @@ _WORDS = f"list_filter(string_split_regex(lower(translate(text, '{_PUNCTUATION}'
 
 @register("text_features", f"select doc_id, len({_WORDS})::integer as num_words, round(len(list_distinct({_WORDS})) * 1.0 / nullif(len({_WORDS}), 0), 6) as diversity, length(lower(translate(text, '{_PUNCTUATION}', '')))::integer as num_characters, round(length(array_to_string({_WORDS}, '')) * 1.0 / nullif(len({_WORDS}), 0), 6) as word_length from documents")
 def text_features(spark, sf_dir):
-    f = featurize.text_features(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", f["num_words"].alias("num_words"), F.round(f["diversity_score"], 6).alias("diversity"), f["num_characters"].alias("num_characters"), F.round(f["mean_characters_per_word"], 6).alias("word_length"))
+    d = table(spark, sf_dir, "documents").select("doc_id", featurize.text_features(F.col("text")).alias("t"))
+    return d.select("doc_id", "t.num_words", F.round("t.diversity_score", 6).alias("diversity"), "t.num_characters", F.round("t.mean_characters_per_word", 6).alias("word_length"))
 
 
 @register("lsa")
