@@ -86,8 +86,8 @@ def digest(hashes: np.ndarray) -> bytes:
     return np.array([a, b], dtype=np.uint64).tobytes()
 
 
-def chunks(texts, limit: int = 1 << 20) -> Iterator[list[str]]:
-    """The texts in runs of about a megabyte, so that temporary arrays stay small beside the batch."""
+def chunks(texts, limit: int = 1 << 18) -> Iterator[list[str]]:
+    """The texts in runs of about a quarter of a megabyte, so that temporary arrays stay small beside the batch."""
     part, size = [], 0
     for t in texts:
         t = t.as_py() or ""
